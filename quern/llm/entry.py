@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, langid, minhash, packing, pii
+from quern.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, minhash, packing, pii, sharding
 from quern.llm.common import table
 
 
@@ -28,13 +28,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_language_id, op5_pii, op9_bpe)}
+    all_ops = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_language_id, op5_pii, op6_sharding, op7_license_scan, op8_embedding_near_dedup, op9_bpe, op10_hmm_scoring)
+    return {f.__name__: f for f in all_ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_embedding_near_dedup": embeddings.OP8_SQL}
