@@ -93,6 +93,8 @@ _add("accounting_balance_and_turnovers", "SELECT T.Account AS Account, T.Flag AS
      SELECT acc AS Account, f AS F, sum(CASE WHEN p < TIMESTAMP '1996-01-01' THEN d - c ELSE 0 END) AS O, sum(CASE WHEN p >= TIMESTAMP '1996-01-01' THEN d ELSE 0 END) AS D, sum(CASE WHEN p >= TIMESTAMP '1996-01-01' THEN c ELSE 0 END) AS C, sum(d - c) AS E FROM e WHERE p < TIMESTAMP '1998-01-01' GROUP BY 1, 2""")
 _add("drcr_turnovers", "SELECT T.AccountDr AS D, T.AccountCr AS C, T.AmountTurnover AS A FROM AccountingRegister.Ledger.DrCrTurnovers(DATETIME(1996,1,1), , , Account > 0) AS T", f"SELECT l_suppkey % 5 AS D, l_partkey % 7 AS C, sum({_A}) AS A FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_suppkey % 5 > 0 GROUP BY 1, 2")
 _add("records_with_ext_dimensions", "SELECT T.Recorder AS R, T.LineNumber AS L, T.ExtDimension1Dr AS X, T.Amount AS A FROM AccountingRegister.Ledger.RecordsWithExtDimensions(DATETIME(1996,1,1), DATETIME(1996,3,1), AccountDr = 2) AS T", f"SELECT l_orderkey AS R, l_linenumber AS L, l_suppkey AS X, {_A} AS A FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-03-01' AND l_suppkey % 5 = 2")
+_add("section_in_condition", "SELECT D.Ref AS Ref FROM Document.Orders AS D WHERE D.Lines.Quantity > 49 AND NOT D.Lines.Part.Size < 3", f"SELECT o_orderkey AS Ref FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {_Q} > 49) AND NOT EXISTS (SELECT 1 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size < 3)")
+_add("document_journal", "SELECT YEAR(J.Date) AS Y, COUNT(J.Ref.Date) AS N FROM DocumentJournal.AllOrders AS J WHERE J.Ref REFS Document.Orders GROUP BY YEAR(J.Date)", "SELECT year(o_orderdate) AS Y, count(*) AS N FROM orders GROUP BY 1")
 # -- totals, batches, service ------------------------------------------------------------------
 _add("totals", "SELECT D.Status AS Status, D.Priority AS Priority, SUM(D.Total) AS Total FROM Document.Orders AS D GROUP BY D.Status, D.Priority ORDER BY Status, Priority TOTALS SUM(Total) BY OVERALL, Status",
      f"WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS p, sum({_T}) AS t FROM orders GROUP BY 1, 2) SELECT s AS Status, p AS Priority, t AS Total FROM g UNION ALL SELECT s, NULL, sum(t) FROM g GROUP BY 1 UNION ALL SELECT NULL, NULL, sum(t) FROM g")

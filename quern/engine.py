@@ -418,8 +418,7 @@ class Engine:
             self._group(s, scope, lower, roots, aggregates, by_label)
         if s.having is not None:
             scope.df = scope.df.where(lower.condition(s.having))
-        sections = [i for i, (e, _) in enumerate(items) if isinstance(e, ast.Path) and self._section(e, scope)]
-        vals = [self._section_value(e, scope) if i in sections else lower(e) for i, (e, _) in enumerate(items)]
+        vals = [self._projected(e, scope, lower) for e, _ in items]
         ordering = [self._direction(c, down) for e, down in keys for c in [self._sortable(lower(e))]]
         shown = [v.col.alias(f"c{i}") for i, v in enumerate(vals)]
         bounds = [(label, v) for label, v in zip(labels, vals)]
@@ -463,6 +462,8 @@ class Engine:
         return out
 
     def _label(self, e: ast.Node, i: int, scope: Scope) -> str:
+        if isinstance(e, ast.Section):
+            e = e.path
         if isinstance(e, ast.Path):
             parts = e.parts
             if len(parts) > 1 and scope.source(parts[0]):
@@ -527,12 +528,31 @@ class Engine:
         low = e.parts[-1].lower()
         return next(((src, child) for name, child in src.obj.sections.items() if low in {n.lower() for n in (name, *child.aliases)}), None)
 
-    def _section_value(self, e: ast.Path, scope: Scope) -> Val:
+    def _projected(self, e: ast.Node, scope: Scope, lower: Lower) -> Val:
+        if isinstance(e, ast.Section):
+            if self._section(e.path, scope) is None:
+                raise QueryError("unknown_field", ".".join(e.path.parts), e.path.at)
+            return self._section_value(e.path, scope, e.fields)
+        return self._section_value(e, scope) if isinstance(e, ast.Path) and self._section(e, scope) else lower(e)
+
+    def section_in(self, e: ast.Path, scope: Scope) -> tuple[Src, Object, list[str]] | None:
+        """The source, section and rest of a path that leads through a tabular section."""
+        for k in range(1, len(e.parts)):
+            found = self._section(ast.Path(e.parts[:k]), scope) if k <= 2 else None
+            if found:
+                return (*found, e.parts[k:])
+        return None
+
+    def _section_value(self, e: ast.Path, scope: Scope, only: list[str] | None = None) -> Val:
         """A section as an array of its rows, in the order of their numbers."""
         src, child = self._section(e, scope)
         rows, inner = self.relation(child, "")
         owner, line = inner.find("Ref"), inner.find("LineNumber")
         fields = [b for b in inner.order if b is not owner and b is not line]
+        if only is not None:
+            if missing := [n for n in only if inner.find(n) is None]:
+                raise QueryError("unknown_field", ", ".join(missing), e.at)
+            fields = [b for n in only if (b := inner.find(n)) is not line]
         nested = rows.groupBy(F.col(owner.column).alias("_owner")).agg(F.array_sort(F.collect_list(F.struct(F.col(line.column).alias("LineNumber"), *[F.col(b.column).alias(b.name) for b in fields]))).alias(f"_n{line.column}"))
         scope.df = scope.df.join(nested, F.col(src.find("Ref").column) == nested["_owner"], "left").drop("_owner")
         return Val(F.coalesce(F.col(f"_n{line.column}"), F.array()), "nested")
@@ -576,7 +596,42 @@ class Engine:
             made = totals_op.totals(df, order, [p.column for p in points], sums, q.totals.overall, level)
         return made, out
 
+    # -- settings ----------------------------------------------------------------------------
+    def setting(self, table: str, user: str, obj: str, key: str) -> DataFrame:
+        """The stored value of one setting; two rows tell a caller that it is ambiguous. All three keys compare exactly."""
+        df = self.tables(table)
+        same = (F.col("userid") == user) & (F.col("objectkey") == obj) & (F.col("settingskey") == key)
+        return df.where(same).select("settingsdata").limit(2)
+
     # -- discovery ---------------------------------------------------------------------------
+    def field_usage(self, text: str) -> dict[str, set[str]]:
+        """Field path -> the clauses that read it: projection, condition, grouping, ordering, join, argument."""
+        out: dict[str, set[str]] = {}
+
+        def note(role: str, root: ast.Node | None) -> None:
+            for n in ast.walk(root, False) if root is not None else ():
+                if isinstance(n, ast.Path):
+                    out.setdefault(".".join(n.parts), set()).add(role)
+
+        for q in (n for s in parse(text) for n in ast.walk(s) if isinstance(n, ast.Query)):
+            for s, _ in q.branches:
+                for e, _ in s.items:
+                    note("projection", e)
+                note("condition", s.where)
+                note("condition", s.having)
+                for e in s.group:
+                    note("grouping", e)
+                for e in self._conditions(s.sources):
+                    note("join", e)
+                for x in s.sources:
+                    for n in ast.walk(x, False):
+                        if isinstance(n, ast.Source):
+                            for a in n.args or ():
+                                note("argument", a)
+            for e, _ in q.order:
+                note("ordering", e)
+        return out
+
     def prepare(self, text: str) -> dict[str, Any]:
         """Names of the parameters, objects and temporary tables that a text mentions, without lowering it."""
         statements = parse(text)

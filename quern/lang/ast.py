@@ -17,6 +17,14 @@ class Path(Node):
     at: int = 0
 
 
+@dataclass
+class Section(Node):
+    """A tabular section in a projection with its fields: Lines.(Part, Quantity), or Lines.*."""
+
+    path: Path
+    fields: list[str] | None
+
+
 @dataclass
 class Star(Node):
     source: str | None = None

@@ -85,8 +85,29 @@ class Lower:
                 raise QueryError("type", f"{'.'.join(e.parts)} is neither grouped nor aggregated", e.at)
         elif isinstance(e, ast.Aggregate):
             raise QueryError("type", f"{e.name} is not allowed here")
+        if isinstance(e, (ast.Binary, ast.In, ast.Between, ast.Like, ast.IsNull)) and getattr(e, "op", "") not in ("AND", "OR", "+", "-", "*", "/"):
+            if (found := self._through_section(e)) is not None:
+                return found
         return getattr(self, f"on_{type(e).__name__.lower()}")(e)
 
+    def _through_section(self, e: ast.Node) -> Val | None:
+        """A predicate over a section's column holds for an owner if it holds for some row: EXISTS, the owner once."""
+        if self.scope.aggregates is not None:
+            return None
+        paths = [(n, found) for n in ast.walk(e, False) if isinstance(n, ast.Path) and (found := self.engine.section_in(n, self.scope))]
+        if not paths:
+            return None
+        if len({id(f[1]) for _, f in paths}) > 1:
+            raise QueryError("unsupported", "several sections in one predicate")
+        src, child, _ = paths[0][1]
+        rows, inner = self.engine.relation(child, "section")
+        for n, (_, _, rest) in paths:
+            n.parts = [inner.alias, *rest]
+        sub = Scope(self.engine, rows, [inner], parent=self.scope)
+        condition = Lower(self.engine, sub).condition(e)
+        owner = F.col(inner.find("Ref").column) == F.col(src.find("Ref").column).outer()
+        return Val(sub.df.where(owner & condition).exists(), "boolean")
+
     def condition(self, e: ast.Node) -> Column:
         v = self(e)
         if v.kind not in ("boolean", "null", "unknown"):

@@ -48,6 +48,8 @@ def model() -> Model:
         Object("AccumulationRegister", "Sales", [Field("Period", "CAST(l_shipdate AS timestamp_ntz)", "date"), _ref("Recorder", "l_orderkey", "Document.Orders"), Field("LineNumber", "l_linenumber", "number"), _ref("Customer", "o_custkey", "Catalog.Customers", ("Клиент",), purpose="dimension"), part, quantity, amount], _sales, ("Продажи",), register="turnovers"),
         Object("InformationRegister", "EventState", [Field("Period", "CAST(ts AS timestamp_ntz)", "date"), Field("User", "user_id", "number", ("Пользователь",), purpose="dimension"), Field("Type", "event_type", "string", ("Вид",), purpose="dimension"), Field("Value", f"CAST(value AS {MONEY})", "number", purpose="resource"), Field("Event", "event_id", "number", ("Событие",))], "events", ("СостояниеСобытий",)),
         Object("AccountingRegister", "Ledger", [*moves, Field("AccountDr", "CAST(l_suppkey % 5 AS bigint)", "number"), Field("AccountCr", "CAST(l_partkey % 7 AS bigint)", "number"), Field("ExtDimension1Dr", "l_suppkey", "number", ("СубконтоДт1",)), Field("ExtDimension1Cr", "l_partkey", "number", ("СубконтоКт1",)), Field("Flag", "l_returnflag", "string", ("Признак",), purpose="dimension"), Field("Amount", f"CAST(l_extendedprice AS {MONEY})", "number", ("Сумма",), purpose="resource")], "lineitem", ("Хозрасчетный",), ext_dimensions=1),
+        Object("DocumentJournal", "AllOrders", [Field("Ref", "named_struct('type', 10, 'ref', CAST(o_orderkey AS string))", "ref", (), ("Document.Orders", "Document.Returns")), Field("Date", "CAST(o_orderdate AS timestamp_ntz)", "date"), Field("Type", "'Orders'", "string", ("Тип",))], "orders", ("ВсеЗаказы",)),
+        Object("Document", "Returns", [_ref("Ref", "o_orderkey", "Document.Returns"), Field("Date", "CAST(o_orderdate AS timestamp_ntz)", "date"), Field("Reason", "CAST(NULL AS string)", "string")], lambda t: t("orders").where("false"), ("Возвраты",), 11),
         Object("Constant", "MainRegion", [_ref("Value", "CASE WHEN r_name = 'EUROPE' OR r_regionkey = 3 THEN r_regionkey END", "Catalog.Regions")], "region", ("ОсновнойРегион",)),
         Object("Constant", "Rate", [Field("Value", "CAST(NULL AS decimal(18,2))", "number")], "region", ("Курс",)),
         Object("FilterCriterion", "ByNation", [], "", ("ПоСтране",), content=(("Catalog.Customers", "Nation"), ("Catalog.Suppliers", "Nation"))),
