@@ -6,6 +6,8 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.engine import ValueTable
+from quern.plans.virtual import PointInTime
 from quern.sample_model import engine
 
 D = datetime.datetime
@@ -95,6 +97,20 @@ _add("drcr_turnovers", "SELECT T.AccountDr AS D, T.AccountCr AS C, T.AmountTurno
 _add("records_with_ext_dimensions", "SELECT T.Recorder AS R, T.LineNumber AS L, T.ExtDimension1Dr AS X, T.Amount AS A FROM AccountingRegister.Ledger.RecordsWithExtDimensions(DATETIME(1996,1,1), DATETIME(1996,3,1), AccountDr = 2) AS T", f"SELECT l_orderkey AS R, l_linenumber AS L, l_suppkey AS X, {_A} AS A FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-03-01' AND l_suppkey % 5 = 2")
 _add("section_in_condition", "SELECT D.Ref AS Ref FROM Document.Orders AS D WHERE D.Lines.Quantity > 49 AND NOT D.Lines.Part.Size < 3", f"SELECT o_orderkey AS Ref FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {_Q} > 49) AND NOT EXISTS (SELECT 1 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size < 3)")
 _add("document_journal", "SELECT YEAR(J.Date) AS Y, COUNT(J.Ref.Date) AS N FROM DocumentJournal.AllOrders AS J WHERE J.Ref REFS Document.Orders GROUP BY YEAR(J.Date)", "SELECT year(o_orderdate) AS Y, count(*) AS N FROM orders GROUP BY 1")
+_add("accounting_running_balances", "SELECT T.Account AS Account, T.Period AS P, T.AmountOpeningBalance AS O, T.AmountTurnoverDr AS D, T.AmountClosingBalance AS C FROM AccountingRegister.Ledger.BalanceAndTurnovers(DATETIME(1996,1,1), DATETIME(1997,1,1), QUARTER) AS T",
+     f"""WITH e AS (SELECT l_suppkey % 5 AS acc, l_suppkey AS x, l_returnflag AS f, l_shipdate AS p, {_A} AS a, {_A} AS d FROM lineitem UNION ALL SELECT l_partkey % 7, l_partkey, l_returnflag, l_shipdate, -{_A}, 0 FROM lineitem),
+     b AS (SELECT acc, x, f, p >= TIMESTAMP '1996-01-01' AS i, CASE WHEN p >= TIMESTAMP '1996-01-01' THEN date_trunc('quarter', p)::TIMESTAMP END AS k, sum(a) AS s, sum(d) AS d FROM e WHERE p < TIMESTAMP '1997-01-01' GROUP BY ALL),
+     w AS (SELECT *, sum(s) OVER (PARTITION BY acc, x, f ORDER BY i, k NULLS FIRST ROWS UNBOUNDED PRECEDING) AS c FROM b) SELECT acc AS Account, k AS P, sum(c - s) AS O, sum(d) AS D, sum(c) AS C FROM w WHERE i GROUP BY 1, 2""")
+_add("balance_and_turnovers_auto", "SELECT T.Supplier AS S, T.PeriodMonth AS M, T.QuantityReceipt AS R, T.QuantityExpense AS E FROM AccumulationRegister.Stock.BalanceAndTurnovers(DATETIME(1997,1,1), DATETIME(1997,7,1), AUTO) AS T",
+     f"SELECT l_suppkey AS S, date_trunc('month', l_shipdate)::TIMESTAMP AS M, sum(CASE WHEN l_returnflag <> 'R' THEN {_Q} ELSE 0 END) AS R, sum(CASE WHEN l_returnflag = 'R' THEN {_Q} ELSE 0 END) AS E FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-07-01' GROUP BY 1, 2")
+_add("turnovers_record", "SELECT T.Recorder AS R, T.LineNumber AS L, T.Period AS P, T.AmountTurnover AS A FROM AccumulationRegister.Sales.Turnovers(DATETIME(1997,1,1), DATETIME(1997,2,1), RECORD) AS T", f"SELECT l_orderkey AS R, l_linenumber AS L, l_shipdate AS P, sum({_A}) AS A FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-02-01' GROUP BY 1, 2, 3")
+_add("turnovers_tendays", "SELECT T.Period AS P, T.AmountTurnover AS A FROM AccumulationRegister.Sales.Turnovers(, , TENDAYS) AS T", f"SELECT date_trunc('month', l_shipdate)::TIMESTAMP + to_days(CAST(10 * least((day(l_shipdate) - 1) // 10, 2) AS INTEGER)) AS P, sum({_A}) AS A FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+_add("point_in_time", "SELECT D.Ref AS Ref FROM Document.Orders AS D WHERE D.PointInTime <= &Moment", "SELECT o_orderkey AS Ref FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01' OR o_orderdate = TIMESTAMP '1996-06-01' AND o_orderkey <= 5000", {"Moment": PointInTime(D(1996, 6, 1), 5000)})
+_add("value_table", "SELECT V.flag AS F, COUNT(*) AS N FROM &Flags AS V INNER JOIN Document.Orders AS D ON D.Status = V.status GROUP BY V.flag", "SELECT f AS F, count(*) AS N FROM (VALUES ('F', 1), ('O', 2), ('X', 3)) v(s, f) JOIN orders ON o_orderstatus = s GROUP BY 1", {"Flags": ValueTable([("F", 1), ("O", 2), ("X", 3)], "status string, flag int")})
+_add("constant_table", "SELECT C.Value AS V FROM Constant.MainRegion AS C WHERE C.Value IS NOT NULL", "SELECT r_regionkey AS V FROM region WHERE r_name = 'EUROPE' OR r_regionkey = 3")
+_add("composite_comparison", "SELECT T.V AS V FROM (SELECT R.Description AS V FROM Catalog.Regions AS R UNION ALL SELECT N.Ref FROM Catalog.Nations AS N) AS T WHERE T.V = \"ASIA\" OR T.V REFS Catalog.Nations",
+     "SELECT 5::TINYINT AS V_TYPE, r_name AS V_S, CAST(NULL AS DECIMAL(38,10)) AS V_N, CAST(NULL AS TIMESTAMP) AS V_T, CAST(NULL AS BOOLEAN) AS V_L, CAST(NULL AS INTEGER) AS V_RTRef, CAST(NULL AS VARCHAR) AS V_RRRef FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 8, NULL, NULL, NULL, NULL, 2, CAST(n_nationkey AS VARCHAR) FROM nation")
+_add("like_escape", "SELECT C.Ref AS Ref FROM Catalog.Customers AS C WHERE C.Description LIKE \"Customer~#%[^0-4]\" ESCAPE \"~\" AND NOT C.Segment LIKE \"_U%\"", "SELECT c_custkey AS Ref FROM customer WHERE regexp_matches(c_name, '^Customer#.*[^0-4]$') AND NOT c_mktsegment LIKE '_U%'")
 # -- totals, batches, service ------------------------------------------------------------------
 _add("totals", "SELECT D.Status AS Status, D.Priority AS Priority, SUM(D.Total) AS Total FROM Document.Orders AS D GROUP BY D.Status, D.Priority ORDER BY Status, Priority TOTALS SUM(Total) BY OVERALL, Status",
      f"WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS p, sum({_T}) AS t FROM orders GROUP BY 1, 2) SELECT s AS Status, p AS Priority, t AS Total FROM g UNION ALL SELECT s, NULL, sum(t) FROM g GROUP BY 1 UNION ALL SELECT NULL, NULL, sum(t) FROM g")

@@ -40,10 +40,11 @@ class Engine:
     With restricted=True every object that a statement reads needs an entry in restrictions (None: unrestricted).
     """
 
-    def __init__(self, spark: SparkSession, model: Model, tables: Callable[[str], DataFrame], session: dict[str, Any] | None = None, separators: dict[str, Any] | None = None, restrictions: dict[str, Any] | None = None, restricted: bool = False, ext_kinds: dict[str, list] | None = None):
+    def __init__(self, spark: SparkSession, model: Model, tables: Callable[[str], DataFrame], session: dict[str, Any] | None = None, separators: dict[str, Any] | None = None, restrictions: dict[str, Any] | None = None, restricted: bool = False, ext_kinds: dict[str, list] | None = None, materialize: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.model, self.tables = spark, model, tables
         self.session, self.separators = dict(session or {}), dict(separators or {})
         self.restrictions, self.restricted, self.ext_kinds = dict(restrictions or {}), restricted, ext_kinds or {}
+        self.materialize = materialize  # applied to every new temporary table, for instance DataFrame.checkpoint
         self.temp: dict[str, tuple[DataFrame, list[Bound]]] = {}
         self._params: dict[str, Any] = {}
         self._used: set[str] = set()
@@ -102,6 +103,7 @@ class Engine:
             for e in s.index:
                 if not (isinstance(e, ast.Path) and any(c.name.lower() == e.parts[-1].lower() for c in columns)):
                     raise QueryError("unknown_field", "an index over what is no column")
+            df = self.materialize(df) if self.materialize else df
             self.temp[name] = (df, columns)
         else:
             if name not in self.temp:
@@ -596,6 +598,10 @@ class Engine:
             made = totals_op.totals(df, order, [p.column for p in points], sums, q.totals.overall, level)
         return made, out
 
+    def release(self) -> None:
+        """Free what totals of this process have persisted."""
+        totals_op.release()
+
     # -- settings ----------------------------------------------------------------------------
     def setting(self, table: str, user: str, obj: str, key: str) -> DataFrame:
         """The stored value of one setting; two rows tell a caller that it is ambiguous. All three keys compare exactly."""

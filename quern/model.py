@@ -24,7 +24,7 @@ STANDARD = {
 
 @dataclass(frozen=True)
 class Field:
-    """sql: the value over the object's table. kind: string number boolean date ref composite uuid binary unknown."""
+    """sql: the value over the object's table. kind: string number boolean date ref composite point uuid binary unknown."""
 
     name: str
     sql: str

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.registers import between
@@ -95,6 +95,31 @@ def balance_and_turnovers(e: Entries, period: str, begin: Column | None, end: Co
     return out
 
 
+def running_balances(e: Entries, period: str, begin: Column | None, end: Column | None, split: list[tuple[str, Column]]) -> DataFrame:
+    """balance_and_turnovers by buckets of the interval: balances run from one bucket of a combination to the next."""
+    rows = e.rows if end is None else e.rows.where(F.col(period) < end)
+    inside = F.lit(True) if begin is None else F.col(period) >= begin
+    keys = [n for n, _ in split]
+    aggs = []
+    for r in e.resources:
+        aggs += [_net(r).alias(f"{r}Turnover"), *[F.sum(F.when(F.col("side") == k, F.col(r)).otherwise(F.lit(0))).alias(f"{r}Turnover{n}") for k, n in ((0, "Dr"), (1, "Cr"))]]
+    whole = rows.groupBy(*e.dims, inside.alias("_inside"), *[F.when(inside, x).alias(f"_k{i}") for i, (_, x) in enumerate(split)]).agg(*aggs)
+    w = Window.partitionBy(*e.dims).orderBy("_inside", *[F.col(f"_k{i}").asc_nulls_first() for i in range(len(keys))])
+    for r in e.resources:
+        whole = whole.withColumn(f"{r}ClosingBalance", F.sum(f"{r}Turnover").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        whole = whole.withColumn(f"{r}OpeningBalance", F.col(f"{r}ClosingBalance") - F.col(f"{r}Turnover"))
+    whole = whole.where("_inside")
+    for r in e.resources:
+        for n in ("Opening", "Closing"):
+            whole = _parts(whole, f"{r}{n}SplittedBalance", f"{r}{n}Balance")
+    sums = [f"{r}{n}" for r in e.resources for n in ("OpeningBalance", "Turnover", "ClosingBalance", "TurnoverDr", "TurnoverCr", "OpeningSplittedBalanceDr", "OpeningSplittedBalanceCr", "ClosingSplittedBalanceDr", "ClosingSplittedBalanceCr")]
+    out = whole.groupBy(*e.kept, *[F.col(f"_k{i}").alias(n) for i, n in enumerate(keys)]).agg(*[F.sum(n).alias(n) for n in sums])
+    for r in e.resources:
+        for n in ("Opening", "Closing"):
+            out = _parts(out, f"{r}{n}Balance", f"{r}{n}Balance")
+    return out
+
+
 def dr_cr_turnovers(rows: DataFrame, kept: list[str], resources: dict[str, Column], period: str, begin: Column | None, end: Column | None, split: list[tuple[str, Column]], active: str | None) -> DataFrame:
     """Turnovers between pairs of accounts; records are not folded."""
     if active:

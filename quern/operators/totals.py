@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +10,24 @@ from quern.operators.hierarchy import ancestors
 
 
 def _ordered(rows: DataFrame, order: list) -> DataFrame:
-    """Number the rows in the query's order: sorted ranges with offsets, never one task for all."""
+    """Number the rows in the query's order: sorted ranges with offsets, never one task for all.
+
+    The numbers are compared between the levels, which are separate branches of the plan, so the
+    numbered rows are persisted (lazily): all branches see the same ones.
+    """
     sorted_rows = rows.orderBy(*order) if order else rows
-    return sorted_rows.withColumn("__rn", F.monotonically_increasing_id())
+    numbered = sorted_rows.withColumn("__rn", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(numbered)
+    return numbered
+
+
+held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the rows that totals have persisted; call it when their results have been read."""
+    while held:
+        held.pop().unpersist()
 
 
 def totals(rows: DataFrame, order: list, points: list[str], sums: dict[str, tuple[str, str]], overall: bool, level: bool = False) -> DataFrame:

@@ -57,6 +57,8 @@ def python_value(engine, value) -> Val:
         return Val(F.lit(bytes(value)), "binary")
     if value is None:
         return Val(F.lit(None), "null")
+    if hasattr(value, "date") and hasattr(value, "recorder"):  # a point in time
+        return Val(F.struct(literal(value.date, "date").col.alias("date"), F.lit(value.recorder).alias("ref")), "point")
     if isinstance(value, Ref):
         return Val(F.lit(value.key), "ref", (value.target,))
     raise QueryError("parameter", f"a parameter of type {type(value).__name__}")

@@ -271,10 +271,11 @@ class VirtualTable:
             out = accounting.turnovers(e, "Period", self.period(at["begin"]), self.period(at["end"]), split)
             endings = ["Turnover", "TurnoverDr", "TurnoverCr"]
         else:
-            if self.name_arg(at["grain"], _GRAINS, "a periodicity") not in (None, "PERIOD"):
-                raise QueryError("unsupported", "periodicity of accounting balances and turnovers")
+            m = registers.Movements(back, [], {}, "Period", recorder="Recorder", line="LineNumber")
+            split = registers.grain(m, self.name_arg(at["grain"], _GRAINS, "a periodicity"), self.split_reads())
             self.name_arg(at["completion"], {c: c for c in _COMPLETIONS}, "a completion")
-            out = accounting.balance_and_turnovers(e, "Period", self.period(at["begin"]), self.period(at["end"]))
+            begin, end = self.period(at["begin"]), self.period(at["end"])
+            out = accounting.running_balances(e, "Period", begin, end, split) if split else accounting.balance_and_turnovers(e, "Period", begin, end)
             endings = [x for x in ENDINGS if x.startswith(("Opening", "Closing", "Turnover"))]
         result = [(c[0], c[1], c[2], c[3]) for c in kept]
         result += [(n, {"Period": ("Период",), "Recorder": ("Регистратор",), "LineNumber": ("НомерСтроки",)}.get(n) or (f"Период{_PERIODS[n[6:]]}",), "date" if n.startswith("Period") else src.find(n).kind, () if n.startswith("Period") else src.find(n).targets) for n, _ in split]

@@ -41,7 +41,7 @@ def model() -> Model:
         Object("Catalog", "Customers", [_ref("Ref", "c_custkey", "Catalog.Customers"), Field("Description", "c_name", "string"), _ref("Nation", "c_nationkey", "Catalog.Nations", ("Страна",)), Field("Balance", f"CAST(c_acctbal AS {MONEY})", "number", ("Остаток",)), Field("Segment", "c_mktsegment", "string", ("Сегмент",))], "customer", ("Клиенты",), 3, presentation=("Description", "' / '", "Segment")),
         Object("Catalog", "Suppliers", [_ref("Ref", "s_suppkey", "Catalog.Suppliers"), Field("Description", "s_name", "string"), _ref("Nation", "s_nationkey", "Catalog.Nations", ("Страна",))], "supplier", ("Поставщики",), 4),
         Object("Catalog", "Parts", [_ref("Ref", "p_partkey", "Catalog.Parts"), Field("Description", "p_name", "string"), Field("Brand", "p_brand", "string", ("Марка",)), Field("Size", "p_size", "number", ("Размер",)), Field("Price", f"CAST(p_retailprice AS {MONEY})", "number", ("Цена",))], "part", ("Номенклатура",), 5),
-        Object("Document", "Orders", [_ref("Ref", "o_orderkey", "Document.Orders"), Field("Date", "CAST(o_orderdate AS timestamp_ntz)", "date"), _ref("Customer", "o_custkey", "Catalog.Customers", ("Клиент",)), Field("Status", "o_orderstatus", "string", ("Статус",)), Field("Total", f"CAST(o_totalprice AS {MONEY})", "number", ("Итог",)), Field("Priority", "o_orderpriority", "string", ("Приоритет",))], "orders", ("Заказы",), 10, sections={"Lines": lines}, presentation=("'Order '", "Ref")),
+        Object("Document", "Orders", [_ref("Ref", "o_orderkey", "Document.Orders"), Field("Date", "CAST(o_orderdate AS timestamp_ntz)", "date"), _ref("Customer", "o_custkey", "Catalog.Customers", ("Клиент",)), Field("Status", "o_orderstatus", "string", ("Статус",)), Field("Total", f"CAST(o_totalprice AS {MONEY})", "number", ("Итог",)), Field("Priority", "o_orderpriority", "string", ("Приоритет",)), Field("PointInTime", "named_struct('date', CAST(o_orderdate AS timestamp_ntz), 'ref', o_orderkey)", "point")], "orders", ("Заказы",), 10, sections={"Lines": lines}, presentation=("'Order '", "Ref")),
         Object("Catalog", "Geo", [_ref("Ref", "id", "Catalog.Geo"), Field("Description", "name", "string"), _ref("Parent", "parent", "Catalog.Geo")], _geo, ("География",), 6),
         Object("Catalog", "TenantCustomers", [_ref("Ref", "c_custkey", "Catalog.TenantCustomers"), Field("Description", "c_name", "string"), Field("Tenant", "c_nationkey", "number")], "customer", (), 7, separators={"Tenant": "Tenant"}),
         Object("AccumulationRegister", "Stock", [*moves, Field("RecordType", RECEIPT, "number"), part, supplier, quantity, amount], "lineitem", ("Запасы",)),
