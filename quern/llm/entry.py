@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_embedding_near_dedup": embeddings.OP8_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op7_license_scan": licenses.OP7_SQL, "op8_embedding_near_dedup": embeddings.OP8_SQL}

@@ -26,7 +26,7 @@ THRESHOLD = 0.6
 MENTION = r"(?i)licen[sc]|copyright|spdx|public domain|redistribut|warrant"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-SENTENCE = r"\n|(?<=[.;!?])\s"
+SENTENCE_END = r"([.;!?])[ \t\r\f\n]"  # the white space becomes a line end, and lines are split
 
 #: Notices and opening paragraphs of public licences (fixed values).
 TEMPLATES = (
@@ -102,7 +102,7 @@ def scan(files: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.col("path").cast("string"), "/+", "/")
     rows = with_rid(files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text")))
     name = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    narrow = cut(rows.select("doc_id", "_rid", "path", name.alias("is_file"), F.when(F.coalesce(F.col("text").rlike(MENTION), F.lit(False)), F.filter(F.split("text", SENTENCE), lambda s: s.rlike(MENTION))).alias("said"), F.when(name, F.col("text")).alias("whole")))
+    narrow = cut(rows.select("doc_id", "_rid", "path", name.alias("is_file"), F.when(F.coalesce(F.col("text").rlike(MENTION), F.lit(False)), F.filter(F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n"), lambda s: s.rlike(MENTION))).alias("said"), F.when(name, F.col("text")).alias("whole")))
     narrow = narrow.withColumn("dir", F.array_join(F.filter(F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/"), lambda p: p != ""), "/"))
     units = narrow.select("_rid", F.posexplode("said").alias("unit", "body")).unionAll(narrow.where("whole is not null").select("_rid", F.lit(-1).alias("unit"), F.col("whole").alias("body")))
     own = cut(best_licence(units))
@@ -122,3 +122,25 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """Documents as files: their source is the directory, their doc_id the name."""
     path = F.concat(F.coalesce(F.col("source").cast("string"), F.lit("unknown")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")), F.lit(".txt"))
     return scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: Documents have no licence files (their names are numbers), so nothing is inherited among them.
+OP7_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(b)})" for i, (n, b) in enumerate(TEMPLATES))}) t(template, licence, body)),
+ tt AS (SELECT template, licence, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM t),
+ df AS (SELECT term, ln((1 + {len(TEMPLATES)}) / (1 + count(DISTINCT template))::DOUBLE) + 1 AS idf FROM tt GROUP BY 1),
+ tw AS (SELECT template, licence, term, count(*) * any_value(idf) AS w FROM tt JOIN df USING (term) GROUP BY 1, 2, 3),
+ tv AS (SELECT template, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM tw),
+ u AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '{SENTENCE_END}', '' || chr(10), 'g'), chr(10)))) AS body FROM documents WHERE regexp_matches(text, '{MENTION}')),
+ ut AS (SELECT doc_id, body, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM u WHERE regexp_matches(body, '{MENTION}')),
+ uw AS (SELECT doc_id, body, term, count(*) * coalesce(any_value(idf), ln(1 + {len(TEMPLATES)}) + 1) AS w FROM ut LEFT JOIN df USING (term) GROUP BY 1, 2, 3),
+ un AS (SELECT doc_id, body, sqrt(sum(w * w)) AS norm FROM uw GROUP BY 1, 2),
+ sc AS (SELECT doc_id, licence, round(least(sum(w * weight) / any_value(norm), 1.0), 6) AS score FROM uw JOIN tv USING (term) JOIN un USING (doc_id, body) GROUP BY doc_id, body, template, licence),
+ best AS (SELECT doc_id, licence, score FROM sc WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1)
+SELECT doc_id, source || '/' || doc_id || '.txt' AS path, licence, score, CASE WHEN licence IS NULL THEN 'none' ELSE 'header' END AS origin, CAST(NULL AS VARCHAR) AS origin_dir
+FROM documents LEFT JOIN best USING (doc_id)
+"""

@@ -42,6 +42,10 @@ def test_no_python_in_native_plans(spark, sf):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_licence_oracle(spark, sf):
+    check(licenses.scan_documents(spark.read.parquet(f"{sf}/documents.parquet")), licenses.OP7_SQL, sf)
+
+
 def test_licences_and_inheritance(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "print(1)"), (3, "a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), (4, "a//b/c/d/y.py", ""), (5, "z/q.txt", None), (6, None, "x"), (7, "top.py", "# Licensed under CC BY-NC 4.0. foo bar"), (7, "top.py", "# Licensed under CC BY-NC 4.0. foo bar"), (None, "a/k.txt", "a warranty of nothing at all, by any licence known to the people of this land")]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("_rid", F.lit("clash")).withColumn("dir", F.lit(1))
