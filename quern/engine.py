@@ -610,6 +610,20 @@ class Engine:
         return df.where(same).select("settingsdata").limit(2)
 
     # -- discovery ---------------------------------------------------------------------------
+    def describe(self, text: str, params: dict[str, Any] | None = None) -> list[dict[str, Any]]:
+        """How the result's columns make up logical values: label, kind, targets, and the physical columns of each."""
+        statements = parse(text)
+        self._params, self._used = {k.lower(): v for k, v in (params or {}).items()}, set()
+        kept = dict(self.temp)
+        try:
+            for s in statements[:-1]:
+                self._statement(s, False)
+            _, columns = self._query(statements[-1], None, top=True)
+        finally:
+            self.temp = kept
+        members = ("TYPE", "S", "N", "T", "L", "RTRef", "RRRef")
+        return [{"label": c.name, "kind": c.kind, "targets": [t for t in c.targets if t], "columns": [f"{c.name}_{m}" for m in members] if c.kind == "composite" else [c.name]} for c in columns]
+
     def field_usage(self, text: str) -> dict[str, set[str]]:
         """Field path -> the clauses that read it: projection, condition, grouping, ordering, join, argument."""
         out: dict[str, set[str]] = {}

@@ -186,3 +186,36 @@ def test_discovery(spark):
 def test_scan_reads_only_used_columns(spark, sf):
     plan = engine(spark, sf).query('SELECT C.Ref FROM Catalog.Customers AS C WHERE C.Segment = "BUILDING"')._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan
+
+
+def test_extension_rows_and_service_tables(spark):
+    base = spark.createDataFrame([(1, "a")], "id int, name string")
+    more = spark.createDataFrame([(2, "b", 7)], "id int, name string, extra int")
+    changes = Object("Catalog", "Goods.Changes", [Field("Ref", "id", "ref", (), ("Catalog.Goods",)), Field("Node", "node", "string", ("Узел",))], "changes", ("Изменения",))
+    model = Model([Object("Catalog", "Goods", [Field("Ref", "id", "ref", (), ("Catalog.Goods",)), Field("Description", "name", "string")], "goods", sections={"Changes": changes}, extensions=("goods_x",))])
+    tables = {"goods": base, "goods_x": more, "changes": spark.createDataFrame([(2, "n1"), (9, "n2")], "id int, node string")}
+    e = Engine(spark, model, tables.__getitem__)
+    assert rows(e.query("ВЫБРАТЬ Т.Ссылка, Т.Наименование ИЗ Справочник.Goods КАК Т")) == [(1, "a"), (2, "b")]
+    assert rows(e.query("SELECT C.Узел, C.Ref.Description FROM Catalog.Goods.Изменения AS C")) == [("n1", "b"), ("n2", None)]
+
+
+def test_both_spellings_give_equal_plans(spark, sf):
+    import re
+
+    e = engine(spark, sf)
+    pair = (
+        "SELECT T.Part AS A, T.QuantityBalance AS B FROM AccumulationRegister.Stock.Balance(DATETIME(1998,1,1)) AS T WHERE T.QuantityBalance > 3",
+        "ВЫБРАТЬ Т.Номенклатура КАК A, Т.КоличествоОстаток КАК B ИЗ РегистрНакопления.Запасы.Остатки(ДАТАВРЕМЯ(1998,1,1)) КАК Т ГДЕ Т.КоличествоОстаток > 3",
+    )
+    plan = lambda t: re.sub(r"#\d+L?|s\d+_|plan_id=\d+", "", e.query(t)._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(pair[0]) == plan(pair[1])
+
+
+def test_materialized_batches(spark):
+    seen = []
+    e = small(spark, materialize=lambda df: seen.append(1) or df)
+    assert e.query("SELECT G.Ref AS R INTO T FROM Catalog.Goods AS G; SELECT T.R FROM T AS T").count() == 5 and seen == [1]
+
+
+def test_full_name_as_qualifier(spark):
+    assert rows(small(spark).query('SELECT Catalog.Firms.Description FROM Catalog.Firms WHERE Catalog.Firms.Ref = "f"')) == [("Firm F",)]

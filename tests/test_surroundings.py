@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.access import expand
+from quern.access import Role, decisions, expand, hidden_fields
 from quern.cli import console
 from quern.lang.diag import QueryError
 from quern.sample_model import engine
@@ -64,3 +64,19 @@ def test_projected_section(spark, sf):
 def test_field_usage(spark, sf):
     use = engine(spark, sf).field_usage("SELECT A.X FROM Catalog.Parts AS A LEFT JOIN Catalog.Parts AS B ON A.K = B.K WHERE A.X > 1 ORDER BY A.Z")
     assert use["A.X"] == {"projection", "condition"} and use["A.K"] == {"join"} and use["A.Z"] == {"ordering"}
+
+
+def test_roles_add_up(spark, sf):
+    reader = Role("reader", {"Catalog.Customers": "#Mine", "Catalog.Nations": True}, {"Mine": "Nation.Region = &R"}, {"Catalog.Customers": {"Ref", "Description"}})
+    other = Role("other", {"Catalog.Customers": "Ref < 3"})
+    found = decisions([reader, other], ["Catalog.Customers", "Catalog.Nations", "Catalog.Parts"])
+    assert found == {"Catalog.Customers": "(Nation.Region = &R) OR (Ref < 3)", "Catalog.Nations": None, "Catalog.Parts": False}
+    e = engine(spark, sf, restrictions=found | {"Catalog.Regions": None}, restricted=True, session={"R": 99})
+    assert e.query("SELECT C.Ref FROM Catalog.Customers AS C").count() == 3
+    assert e.query("SELECT P.Ref FROM Catalog.Parts AS P").count() == 0
+    assert hidden_fields([reader], "Catalog.Customers", ["Ref", "Description", "Balance"]) == {"Balance"}
+
+
+def test_describe(spark, sf):
+    found = engine(spark, sf).describe('SELECT C.Nation AS N, CASE WHEN C.Ref = 1 THEN "a" ELSE 2 END AS V FROM Catalog.Customers AS C')
+    assert found[0] == {"label": "N", "kind": "ref", "targets": ["Catalog.Nations"], "columns": ["N"]} and found[1]["columns"][0] == "V_TYPE"
