@@ -40,28 +40,41 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def best_fit(length: np.ndarray, tokens: int, documents: int, attention: int, weights=None, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of every piece. A piece over a capacity on its own raises ValueError."""
+    """(bin, offset) of every piece. A piece over a capacity on its own raises ValueError.
+
+    If tokens alone can bind, pieces go in falling order of length. Else that order spends the other capacities
+    badly, so the given order and one that alternates long and short pieces are tried too; the fewest bins win.
+    """
     length = np.asarray(length, np.int64)
-    capacity = np.array([tokens, documents, attention], float)
     if len(length) and (length.max() > tokens or length.max() ** 2 > attention or documents < 1):
         raise ValueError("a piece exceeds a capacity on its own")
-    if weights is None:  # at most `tokens` documents fit, and their cost is at most tokens squared
-        weights = (1.0, float(documents < tokens), float(attention < tokens * tokens))
-    w = np.asarray(weights, float)
+    binds = (True, documents < tokens, attention < tokens * tokens)  # at most `tokens` documents fit, and their cost is at most tokens squared
+    falling = np.argsort(-length, kind="stable")
+    orders = [falling]
+    if any(binds[1:]):
+        mixed = np.empty_like(falling)
+        half = (len(falling) + 1) // 2
+        mixed[0::2], mixed[1::2] = falling[:half], falling[half:][::-1]
+        orders += [np.arange(len(length)), mixed]
+    found = [_fill(length, order, (tokens, documents, attention), binds, weights or tuple(map(float, binds)), by) for order in orders]
+    return min(found, key=lambda f: f[2])[:2]
+
+
+def _fill(length: np.ndarray, order: np.ndarray, capacities: tuple, binds: tuple, weights: tuple, by: str) -> tuple[np.ndarray, np.ndarray, int]:
+    capacity, w = np.array(capacities, float), weights
     used = [k for k in range(3) if w[k]]
     left = np.empty((3, 64))  # residuals of the open bins
     names, count, made = np.empty(64, np.int64), 0, 0
     bins, offsets = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
     smallest = length.min() if len(length) else 0
-    for i in np.argsort(-length, kind="stable"):
+    for i in order:
         n = length[i]
         need = (n, 1, n * n)
         r = left[:, :count]
         fits = r[0] >= n
-        if w[1]:
-            fits &= r[1] >= 1
-        if w[2]:
-            fits &= r[2] >= need[2]
+        for k in (1, 2):
+            if binds[k]:
+                fits &= r[k] >= need[k]
         score = np.zeros(count)
         for k in used:
             x = r[k] / capacity[k]
@@ -74,12 +87,12 @@ def best_fit(length: np.ndarray, tokens: int, documents: int, attention: int, we
             at, count = count, count + 1
             left[:, at], names[at] = capacity, made
             made += 1
-        bins[i], offsets[i] = names[at], tokens - left[0, at]
+        bins[i], offsets[i] = names[at], capacities[0] - left[0, at]
         left[:, at] -= need
         if left[0, at] < smallest or left[1, at] < 1:  # closed for good
             count -= 1
             left[:, at], names[at] = left[:, count], names[count]
-    return bins, offsets
+    return bins, offsets, made
 
 
 def pieces(docs: DataFrame, size: int, path: str | None = None) -> DataFrame:

@@ -88,10 +88,11 @@ def test_pack_edges(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [None, (1, 0, 0)])
 @pytest.mark.parametrize("by", ["norm", "dot"])
-def test_every_capacity_holds(by):
+def test_every_capacity_holds(by, weights):
     length = np.random.default_rng(1).integers(1, 900, 2000)
-    bins, offset = packing.best_fit(length, 2048, 4, 1_000_000, by=by)
+    bins, offset = packing.best_fit(length, 2048, 4, 1_000_000, weights, by)
     for b in set(bins.tolist()):
         own = length[bins == b]
         assert own.sum() <= 2048 and len(own) <= 4 and (own**2).sum() <= 1_000_000
