@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ def _ordered(rows: DataFrame, order: list) -> DataFrame:
     """Number the rows in the query's order: sorted ranges with offsets, never one task for all.
 
     The numbers are compared between the levels, which are separate branches of the plan, so the
-    numbered rows are persisted (lazily): all branches see the same ones.
+    numbered rows are persisted (lazily): all branches see the same ones. The call's number keeps
+    the plan of one call apart from that of another, so none reads what another has persisted.
     """
+    rows = rows.where(F.lit(next(_calls)) > 0)
     sorted_rows = rows.orderBy(*order) if order else rows
     numbered = sorted_rows.withColumn("__rn", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     held.append(numbered)
@@ -22,6 +26,7 @@ def _ordered(rows: DataFrame, order: list) -> DataFrame:
 
 
 held: list[DataFrame] = []
+_calls = itertools.count(1)
 
 
 def release() -> None:
