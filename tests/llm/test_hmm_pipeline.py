@@ -30,6 +30,21 @@ def test_base_scores(spark, sf):
     assert sum(r.score for r in own) > sum(r.base_score for r in own) - 0.02 * sum(r.n_tokens for r in own)
 
 
+def test_held_out_documents_gain_from_training(spark, sf):
+    own = [r for r in hmm.score(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in own) > sum(r.base_score for r in own)
+    own = [r for r in hmm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    base, full, n = (sum(r[c] for r in own) for c in ("base_score", "score", "n_tokens"))
+    print(base / n, full / n)
+    assert full > base + 0.15 * n
+
+
+def test_training_ends_when_gains_end():
+    logs = iter([-70.0, -69.9999, -69.99, -65.0, -62.0, -61.9999, -61.0])
+    end = hmm.trained(lambda p: hmm.Parameters(p.pi, p.a, p.b, next(logs)), hmm.first_guess(np.ones(5), 3), 10)
+    assert end.log == -61.9999
+
+
 def test_edges(spark):
     docs = documents(spark)
     out = hmm.score(docs)
