@@ -82,7 +82,9 @@ _ONE = "(?:" + "|".join(_DIGITS) + ")"
 _CHARS = "".join(_LOOKALIKES) + "".join(k for k in _SIGNS if len(k) == 1)
 _UNSEEN = re.compile(f"[{_HIDDEN}]+([^{_HIDDEN}]|$)")
 _CHAR = re.compile("[" + re.escape(_CHARS) + "！-～٠-٩۰-۹]|&#64;|&commat;|&#46;|%40")
-_ODD = re.compile("[" + re.escape(_CHARS + _HIDDEN) + "！-～٠-٩۰-۹]")
+_FOLDED = "ıİſ\u212a"  # they match i, s and k where case is ignored
+_PLAINLY = str.maketrans(_FOLDED, "iisk")
+_ODD = re.compile("[" + re.escape(_CHARS + _HIDDEN + _FOLDED) + "！-～٠-٩۰-۹]")
 _SPELLED = re.compile(rf"(?:\bplus[ ,-]+)?(?<![A-Za-z0-9]){_ONE}(?:[ ,.-]{{1,2}}(?:{_ONE}|[0-9]+)){{2,}}(?![A-Za-z0-9])", re.I)
 _WORD = re.compile(rf"plus(?=[ ,-])|{_ONE}|, ?", re.I)
 _AT = r"(?:at|arroba|chez|@)"
@@ -90,7 +92,7 @@ _DOT = r"(?:dot|point|punkt|punto|\.)"
 _BRACKETED = re.compile(rf"(?P<at> ?(?:\[ ?{_AT} ?\]|\( ?{_AT} ?\)|\{{ ?{_AT} ?\}}|< ?{_AT} ?>|_at_|-at-) ?)|(?P<dot> ?(?:\[ ?{_DOT} ?\]|\( ?{_DOT} ?\)|\{{ ?{_DOT} ?\}}|< ?{_DOT} ?>|_dot_|-dot-) ?)", re.I)
 _PLAIN = re.compile(r"(?<=[A-Za-z0-9._%+-]) at (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-]+)| ?@ ?(?=[A-Za-z0-9])", re.I)
 _ENTITIES = ("&#64;", "&commat;", "&#46;", "%40", " @", "@ ")
-_NEAR = ("at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "@]", "@)", "@}", "@>", "_at_", "-at-", "arroba", "chez")
+_MARKED = re.compile(rf"[\[({{<] ?(?:{_AT}|{_DOT}) ?[\])}}>]|[_-](?:at|dot)[_-]", re.I)  # in all that _BRACKETED matches
 _OTHERS = tuple(w for w in _DIGITS if w != "one")
 _ONES = re.compile(r"one[ ,.-]{1,2}(?:one|[0-9])|[0-9][ ,.-]{1,2}one")
 _RUN = re.compile(rf"{_ONE}[ ,.-]{{1,2}}(?:{_ONE}|[0-9])|[0-9][ ,.-]{{1,2}}{_ONE}")
@@ -152,7 +154,7 @@ def _one_char(m: re.Match) -> str:
 
 
 def _word(m: re.Match) -> str:
-    w = m[0].lower()
+    w = m[0].translate(_PLAINLY).lower()
     return "+" if w == "plus" else " " if w[0] == "," else _DIGITS[w]
 
 
@@ -163,15 +165,18 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if any(sign in low for sign in _ENTITIES) or " dot " in low:
         return True
-    if any(sign in low for sign in _NEAR) and _BRACKETED.search(text):
+    if _MARKED.search(text):
         return True
     return ("one" in low and _ONES.search(low) is not None) or (any(w in low for w in _OTHERS) and _RUN.search(low) is not None)
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in places of the source text."""
-    if not disguised(text):
-        return []
+    return rewritten_spans(text, base) if disguised(text) else []
+
+
+def rewritten_spans(text: str, base: list[Span]) -> list[Span]:
+    """The same without the quick look."""
     r = Rewritten(text)
     r.apply(_UNSEEN, lambda m: m[1])
     r.apply(_CHAR, _one_char)

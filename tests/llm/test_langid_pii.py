@@ -85,6 +85,29 @@ def test_disguises(text, kind, found):
     assert (pii.KINDS.index(kind), found) in [(k, text[a:b]) for a, k, b in pii.added_spans(text, base)]
 
 
+@pytest.mark.parametrize("text, out", [
+    ("joe@ex[dot]com", "[EMAIL]"), ("joe@ex(dot)com", "[EMAIL]"), ("joe@ex [dot] com", "[EMAIL]"), ("joe@ex_dot_com", "[EMAIL]"), ("joe@ex-dot-com", "[EMAIL]"), ("joe@ex[.]com", "[EMAIL]"), ("joe@ex{ PUNKT }com", "[EMAIL]"), ("joe@ex<punto>com", "[EMAIL]"), ("10.0.0[.]1", "[IP]"),
+])
+def test_a_disguised_dot_is_enough(text, out):
+    assert pii.redacted(f"see {text} now") == f"see {out} now"
+
+
+def test_the_quick_look_misses_nothing():
+    rng = random.Random(3)
+    words = ["at", "AT", "arroba", "chez", "@", "dot", "Dot", "point", "po\u0131nt", "punkt", "pun\u212at", "punto", "."]
+    marks = [*(a + x + w + x + b for a, b in ("[]", "()", "{}", "<>") for x in ("", " ") for w in words), *(a + w + a for a in " _-" for w in words), "@", ".", " @ ", " at ", " dot ", "&#64;", "&#46;", "%40", "\uff0e", "\u200b."]
+    digits = ["one ", "Two ", "three, ", "f\u0131ve-", "\u017fix ", "seven.", "4 ", "11", "plus ", "+1", "0.", "zero "]
+    seen = 0
+    for _ in range(20_000):
+        parts = [rng.choice(["joe", "x"]), rng.choice(marks), "ex", rng.choice(marks), "com"] if rng.random() < 0.4 else [rng.choice(["joe@ex", "10.0.0", "a.b", "10.0"]), rng.choice(marks), rng.choice(["com", "1", "0.1"])] if rng.random() < 0.5 else [rng.choice(digits) for _ in range(rng.randint(8, 17))]
+        text = "".join(parts)
+        base = pii.base_spans(text)
+        spans = pii.rewritten_spans(text, base)
+        seen += bool(spans)
+        assert pii.added_spans(text, base) == spans, text
+    assert seen > 2000
+
+
 @pytest.mark.parametrize("text", ["meet me at the dot", "we at home dot", "one of three things", "a.b, c.d", "at (the) end", "the price: 5.6 at 7", ""])
 def test_clean_text_is_left_alone(text):
     assert pii.redacted(text) == text
