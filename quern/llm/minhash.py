@@ -16,7 +16,7 @@ The one probabilistic step is banding with the signature screen: with the defaul
 pair at exactly the threshold is missed with a probability under 1e-5.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; repeated rows fall
-into one group; null doc_ids count as larger than any id; an empty table gives an empty result;
+into one group; null doc_ids count as larger than any id, and each such row is a document of its own; an empty table gives an empty result;
 columns other than doc_id and text are neither read nor returned.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, small_batches, with_rid, written
+from quern.llm.common import cut, own_name, small_batches, with_rid, written
 from quern.llm.components import components
 from quern.llm.words import WordHashes, mix, shingles
 
@@ -110,8 +110,9 @@ def in_blocks(rows: DataFrame, key: str, count: str, node: str, block: int, colu
     return dealt.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
 
-def fingerprints(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, _rid, n, set_key, keys, sig for every document; keys and sig are null without shingles."""
+def fingerprints(docs: DataFrame, size: int, k: int, rid: str | None = None) -> DataFrame:
+    """doc_id, _rid (the numbers in column rid, or new ones), n, set_key, keys, sig for every document; keys and sig
+    are null without shingles."""
     small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,8 @@ def fingerprints(docs: DataFrame, size: int, k: int) -> DataFrame:
                         set_key.append(None), keys.append(None), sig.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "_rid", "n", "set_key", "keys", "sig"])
 
-    rows = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("_rid"))
     return written(rows.mapInArrow(read, "doc_id long, _rid long, n long, set_key binary, keys array<long>, sig binary"))
 
 
@@ -218,9 +220,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     Documents link where den * intersection >= num * union of their sets of size-word shingles.
     """
+    out = grouped(docs, size, num, den, bands)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands: int = 24, rid: str | None = None) -> DataFrame:
+    """_rid, doc_id, n_shingles, component_id, head (the number of the first row of the component by doc_id, then by
+    number; null without shingles); one row for each row of docs."""
     k, t = bands * ROWS, num / den
     least = t - 5 * (t * (1 - t) / k) ** 0.5
-    all_rows = fingerprints(docs, size, k)
+    all_rows = fingerprints(docs, size, k, rid)
     # 1. One representative for each distinct set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_rid").alias("rid")))
     classes = all_rows.where("n > 0").groupBy("set_key").agg(first.alias("first"), F.min("doc_id").alias("least"))
@@ -238,21 +247,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     wanted = cut(clusters.join(classes, "node"))
     groups = components(_verified(_sets_of(docs, wanted, size), num, den))
     # 4. The smallest doc_id of each component, for all rows of all its classes.
-    found = classes.join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least")
-    ids = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(found.join(ids, "component").select("set_key", "component_id"))
+    found = classes.join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least", "node")
+    head = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node").alias("rid")))
+    ids = found.groupBy("component").agg(F.min("least").alias("component_id"), head.alias("head"))
+    named = cut(found.join(ids, "component").select("set_key", "component_id", F.col("head.rid").alias("head")))
     out = all_rows.join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("_rid", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "head")
 
 
 def thin(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns.
+    """The rows of docs that stay, one row of each group, with all their columns.
 
-    Documents without words stay. A doc_id names one document: rows that repeat it stay or go together.
+    Rows without words stay. The row with the smallest doc_id stays, a row with a null doc_id only where the group
+    has no other; of rows with that same doc_id any one. What befalls a row depends on its group, not on other rows
+    of its doc_id.
     """
-    found = cut(near_duplicates(docs, **how))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rid = own_name(docs, "_rid")
+    rows = written(with_rid(docs, rid))
+    found = cut(grouped(rows, rid=rid, **how))
+    gone = found.where(F.col("_rid") != F.col("head")).select(F.col("_rid").alias("_gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    return rows.join(gone, rows[rid] == gone["_gone"], "left_anti").drop(rid)

@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import minhash
 from quern.llm.words import WordHashes, shingles
@@ -54,6 +55,22 @@ def test_edges(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_thinning_goes_by_rows(spark):
+    body = "the quick brown fox jumps over the lazy dog while seven wizards quickly vex the jolly dwarf and then run back home again"
+    other = body.translate(str.maketrans("abcdefghij", "klmnopqrst"))
+    rows = [
+        (1, body), (None, body + " now"), (None, "unrelated and clean"), (None, ""), (None, None),
+        (2, "one id with two texts"), (2, body), (3, other), (3, other + " now"), (3, other + " then"),
+        (None, f"x {other} y z"), (None, body.upper() * 2), (None, body.upper() * 2 + " end"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_rid", F.lit("clash"))
+    kept = minhash.thin(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "-")[:20].lower(), len(r.text or "") > 150) for r in kept.collect()), key=repr)
+    want = [(1, body[:20], False), (None, "unrelated and clean", False), (None, "-", False), (None, "-", False), (2, "one id with two texts"[:20], False), (3, other[:20], False), (None, body[:20], True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_blocks_give_the_same_forest():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(60)]
