@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Every sentence of a text that mentions a licence is a unit, and so is the whole text of a licence
-file (by its name). Units and templates are sparse TF-IDF vectors; the template with the greatest
+file (by its name), and every block of neighbouring lines with a mention, which finds wrapped
+notices. A text of which no unit is like a template goes by its SPDX tag. Units and templates are sparse TF-IDF vectors; the template with the greatest
 cosine, if at least THRESHOLD, is the unit's licence. The best unit of a document decides. A
 document without a licence of its own inherits from the nearest directory above it that holds a
 licence file: distinct directories are joined with their ancestors by path, and documents with
@@ -26,6 +27,8 @@ THRESHOLD = 0.6
 MENTION = r"(?i)licen[sc]|copyright|spdx|public domain|redistribut|warrant"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+MARK = r"[ \t]*(?:#+|/\*+|\*+/?|//+|--+|;+|%+|<!--+)"  # of a comment, at the start of a line
+SPDX = r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.-]+?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
 SENTENCE_END = r"([.;!?])[ \t\r\f\n]"  # the white space becomes a line end, and lines are split
 
 #: Notices and opening paragraphs of public licences (fixed values).
@@ -97,15 +100,35 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir")))
 
 
+def blocks(text: Column) -> Column:
+    """Runs of neighbouring lines that mention a licence, without comment marks and line ends.
+
+    Blank lines end a run, and so does the step between a comment and code.
+    """
+    text = F.regexp_replace(text, rf"(?m)^((?!{MARK}).+)\n(?={MARK})", "$1\n\n")
+    apart = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), rf"(?m)^({MARK}.*)\n(?!{MARK})", "$1\n\n")
+    runs = F.split(F.regexp_replace(apart, rf"(?m)^{MARK}", ""), r"\n[ \t\f]*\n")
+    return F.filter(F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, r"(\w-)\s*\n\s*(?=\w)", "$1"), r"\s+", " ")), lambda r: r.rlike(MENTION))
+
+
+def tagged(text: Column, templates=TEMPLATES) -> Column:
+    """The licence that an SPDX tag names, if it is one of the templates'."""
+    names = F.create_map(*[F.lit(x) for n in sorted({n for n, _ in templates}) for x in (n.lower(), n)])
+    return F.try_element_at(names, F.lower(F.regexp_extract(text, SPDX, 1)))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, licence, score, origin (header, file, inherited or none), origin_dir; one row for each row of files."""
     path = F.regexp_replace(F.col("path").cast("string"), "/+", "/")
     rows = with_rid(files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text")))
     name = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    narrow = cut(rows.select("doc_id", "_rid", "path", name.alias("is_file"), F.when(F.coalesce(F.col("text").rlike(MENTION), F.lit(False)), F.filter(F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n"), lambda s: s.rlike(MENTION))).alias("said"), F.when(name, F.col("text")).alias("whole")))
+    narrow = cut(rows.select("doc_id", "_rid", "path", name.alias("is_file"), F.when(F.coalesce(F.col("text").rlike(MENTION), F.lit(False)), F.filter(F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n"), lambda s: s.rlike(MENTION))).alias("said"), F.when(name, F.col("text")).alias("whole"), F.when(F.coalesce(F.col("text").rlike(MENTION), F.lit(False)), blocks(F.col("text"))).alias("blocks"), tagged(F.col("text")).alias("tag")))
     narrow = narrow.withColumn("dir", F.array_join(F.filter(F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/"), lambda p: p != ""), "/"))
     units = narrow.select("_rid", F.posexplode("said").alias("unit", "body")).unionAll(narrow.where("whole is not null").select("_rid", F.lit(-1).alias("unit"), F.col("whole").alias("body")))
+    units = units.unionAll(narrow.select("_rid", F.posexplode("blocks").alias("at", "body")).select("_rid", (-2 - F.col("at")).alias("unit"), "body"))
     own = cut(best_licence(units))
+    tags = narrow.where("tag is not null").join(own.select("_rid"), "_rid", "left_anti").select("_rid", F.col("tag").alias("licence"), F.lit(1.0).alias("score"))
+    own = own.unionAll(tags)
     named = narrow.join(own, "_rid", "left")
     # One licence a directory, from its licence files.
     held = named.where("is_file and licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best"))

@@ -55,6 +55,21 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_wrapped_notices_and_tags(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for n, (licence, text) in enumerate(licenses.TEMPLATES):
+        for k, (mark, width) in enumerate((("", 72), ("# ", 72), (" * ", 60), ("// ", 79))):
+            rows.append((n * 10 + k, f"src/{n}_{k}.c", "int a;\n" * 3 + "\n" * (not mark) + textwrap.indent(textwrap.fill(text, width), mark) + "\n" * (1 if mark else 2) + "int main() {}\n" * 40))
+            want[n * 10 + k] = licence
+    for n, (tag, licence) in enumerate((("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("GPL-3.0-or-later", "GPL-3.0"), ("Nobody-1.0", None))):
+        rows.append((1000 + n, f"src/t{n}.py", f"# SPDX-License-Identifier: {tag}\nprint(1)\n"))
+        want[1000 + n] = licence
+    got = {r.doc_id: r.licence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: (got[i], x) for i, x in want.items() if got[i] != x} == {}
+
+
 def test_licence_scores_against_brute_force(spark):
     import re
     from collections import Counter
