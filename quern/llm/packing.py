@@ -3,7 +3,10 @@
 Every open bin has a residual vector: tokens, documents and attention cost (a document of n tokens
 costs n * n). Pieces go in falling order of length to the feasible bin with the smallest weighted
 norm of what would remain, or with the greatest weighted dot product of piece and residual; no
-capacity is ever exceeded. A resource that cannot bind has weight zero by default.
+capacity is ever exceeded. WEIGHTS weigh all three alike, so a piece joins the bin in which tokens,
+attention and documents are the most spent together, which need not be the one with the fewest tokens
+left. As that may cost a bin, the same pieces are also filled by tokens alone where tokens alone can
+bind, and the fewest bins win, the steered ones on a tie.
 
 Pieces that fill a sequence alone never meet others. The rest is dealt at random into groups of
 about GROUP pieces that are packed independently, so the cost over one global packing is under one
@@ -20,7 +23,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from quern.llm.common import with_rid, written
 SEQUENCE = 2048
 GROUP = 20_000
 END_ID = 0
+WEIGHTS = (1.0, 1.0, 1.0)  # of tokens, documents, attention
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -39,7 +42,7 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, size) for at in range(first, n, size)]
 
 
-def best_fit(length: np.ndarray, tokens: int, documents: int, attention: int, weights=None, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(length: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of every piece. A piece over a capacity on its own raises ValueError.
 
     If tokens alone can bind, pieces go in falling order of length. Else that order spends the other capacities
@@ -50,13 +53,15 @@ def best_fit(length: np.ndarray, tokens: int, documents: int, attention: int, we
         raise ValueError("a piece exceeds a capacity on its own")
     binds = (True, documents < tokens, attention < tokens * tokens)  # at most `tokens` documents fit, and their cost is at most tokens squared
     falling = np.argsort(-length, kind="stable")
-    orders = [falling]
+    ways = [(falling, weights)]
     if any(binds[1:]):
         mixed = np.empty_like(falling)
         half = (len(falling) + 1) // 2
         mixed[0::2], mixed[1::2] = falling[:half], falling[half:][::-1]
-        orders += [np.arange(len(length)), mixed]
-    found = [_fill(length, order, (tokens, documents, attention), binds, weights or tuple(map(float, binds)), by) for order in orders]
+        ways += [(order, w) for order in (falling, np.arange(len(length)), mixed) for w in (weights, tuple(map(float, binds)))][1:]
+    else:
+        ways.append((falling, (1.0, 0.0, 0.0)))
+    found = [_fill(length, order, (tokens, documents, attention), binds, w, by) for order, w in ways]
     return min(found, key=lambda f: f[2])[:2]
 
 
@@ -110,7 +115,7 @@ def pieces(docs: DataFrame, size: int, path: str | None = None) -> DataFrame:
     return map_ids(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long", path)
 
 
-def pack(docs: DataFrame, tokens: int = SEQUENCE, documents: int | None = None, attention: int | None = None, weights=None, by: str = "norm", path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokens: int = SEQUENCE, documents: int | None = None, attention: int | None = None, weights: tuple = WEIGHTS, by: str = "norm", path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row for each piece.
 
     A long document is cut to what fits a sequence, by tokens and by attention cost.
@@ -121,13 +126,13 @@ def pack(docs: DataFrame, tokens: int = SEQUENCE, documents: int | None = None,
     whole = F.col("length") == tokens
     groups = max(1, math.ceil(made.where(~whole).count() / GROUP))
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
+    def fill(group: pa.Table) -> pa.Table:
         bins, offsets = best_fit(group["length"].to_numpy(), tokens, documents, attention, weights, by)
-        out = group.drop(columns="_group")
-        return out.assign(sequence_id=2 * ((group["_group"].to_numpy() << 32) + bins), offset=offsets)
+        made = 2 * ((group["_group"].to_numpy() << 32) + bins)
+        return group.drop_columns("_group").append_column("sequence_id", pa.array(made, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     alone = made.where(whole).select(*out[:5], (F.col("_rid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = made.where(~whole).select(*out[:5], F.pmod(F.xxhash64("_rid"), F.lit(groups)).alias("_group"))
-    filled = rest.groupBy("_group").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    filled = rest.groupBy("_group").applyInArrow(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return alone.unionByName(filled)

@@ -1,8 +1,8 @@
 """Personal data, with offset-preserving deobfuscation.
 
 Base identifiers are found in the text as it stands. Where a text holds signs of a disguise,
-transducers rewrite it (homoglyphs and full-width forms, invisible characters, spelled digits,
-bracketed or spelled-out at and dot) while keeping for each rewritten stretch the source characters
+transducers rewrite it (homoglyphs and full-width forms, invisible characters, digits spelled in
+English, French, German or Spanish, bracketed or spelled-out at and dot) while keeping for each rewritten stretch the source characters
 it comes from; the same detectors run over the rewritten text, and spans that use a rewritten
 stretch are mapped back and added, unless they meet a base span of their kind.
 
@@ -77,25 +77,35 @@ def base_spans(text: str) -> list[Span]:
 _LOOKALIKES = dict(zip("аеорсухіѕјԁкмтнвАЕОРСУХІЅЈКМТНВοανρικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxisjdkmthbAEOPCYXISJKMTHBoavpikABEZHIKMNOPTYX"))
 _SIGNS = {"﹫": "@", "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ", " ": " ", "&#64;": "@", "&commat;": "@", "&#46;": ".", "%40": "@"}
 _HIDDEN = "­​‌‍⁠﻿"
-_DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
-_ONE = "(?:" + "|".join(_DIGITS) + ")"
+#: Digits in English, French, German and Spanish (fixed values).
+_SPOKEN_DIGITS = (
+    "zero one two three four five six seven eight nine",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_DIGITS = {w: str(i) for words in _SPOKEN_DIGITS for i, w in enumerate(words.split())} | {"zwo": "2", "fuenf": "5"}
+_ONE = "(?:" + "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w))) + ")"
+_PLUS = "(?:plus|más|mas)"
 _CHARS = "".join(_LOOKALIKES) + "".join(k for k in _SIGNS if len(k) == 1)
 _UNSEEN = re.compile(f"[{_HIDDEN}]+([^{_HIDDEN}]|$)")
 _CHAR = re.compile("[" + re.escape(_CHARS) + "！-～٠-٩۰-۹]|&#64;|&commat;|&#46;|%40")
 _FOLDED = "ıİſ\u212a"  # they match i, s and k where case is ignored
 _PLAINLY = str.maketrans(_FOLDED, "iisk")
 _ODD = re.compile("[" + re.escape(_CHARS + _HIDDEN + _FOLDED) + "！-～٠-٩۰-۹]")
-_SPELLED = re.compile(rf"(?:\bplus[ ,-]+)?(?<![A-Za-z0-9]){_ONE}(?:[ ,.-]{{1,2}}(?:{_ONE}|[0-9]+)){{2,}}(?![A-Za-z0-9])", re.I)
-_WORD = re.compile(rf"plus(?=[ ,-])|{_ONE}|, ?", re.I)
+_SPELLED = re.compile(rf"(?:\b{_PLUS}[ ,-]+)?(?<!\w){_ONE}(?:[ ,.-]{{1,2}}(?:{_ONE}|[0-9]+)){{2,}}(?!\w)", re.I)
+_WORD = re.compile(rf"{_PLUS}(?=[ ,-])|{_ONE}|, ?", re.I)
 _AT = r"(?:at|arroba|chez|@)"
 _DOT = r"(?:dot|point|punkt|punto|\.)"
 _BRACKETED = re.compile(rf"(?P<at> ?(?:\[ ?{_AT} ?\]|\( ?{_AT} ?\)|\{{ ?{_AT} ?\}}|< ?{_AT} ?>|_at_|-at-) ?)|(?P<dot> ?(?:\[ ?{_DOT} ?\]|\( ?{_DOT} ?\)|\{{ ?{_DOT} ?\}}|< ?{_DOT} ?>|_dot_|-dot-) ?)", re.I)
 _PLAIN = re.compile(r"(?<=[A-Za-z0-9._%+-]) at (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-]+)| ?@ ?(?=[A-Za-z0-9])", re.I)
+_NAME = "[A-Za-z0-9-]+"
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-]) (?P<at>at|arroba|arobase) (?P<domain>{_NAME}(?: (?:dot|punkt|punto|point) {_NAME})+|{_NAME}(?:\.{_NAME})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9-]))", re.I)
+_SPOKEN_DOT = re.compile(r" (?:dot|punkt|punto|point) ", re.I)
+_CUE = re.compile(r"(?:mail|contact|kontakt|write|schreib|reach|courriel|correo|escrib|address|adresse|[<(\[:\"'=])\W*(?:\w+\W+){0,2}$", re.I)
 _ENTITIES = ("&#64;", "&commat;", "&#46;", "%40", " @", "@ ")
 _MARKED = re.compile(rf"[\[({{<] ?(?:{_AT}|{_DOT}) ?[\])}}>]|[_-](?:at|dot)[_-]", re.I)  # in all that _BRACKETED matches
-_OTHERS = tuple(w for w in _DIGITS if w != "one")
-_ONES = re.compile(r"one[ ,.-]{1,2}(?:one|[0-9])|[0-9][ ,.-]{1,2}one")
-_RUN = re.compile(rf"{_ONE}[ ,.-]{{1,2}}(?:{_ONE}|[0-9])|[0-9][ ,.-]{{1,2}}{_ONE}")
+_RUN = re.compile(rf"(?<!\w){_ONE}[ ,.-]{{1,2}}(?:{_ONE}|[0-9])", re.I)
 
 
 class Rewritten:
@@ -155,7 +165,29 @@ def _one_char(m: re.Match) -> str:
 
 def _word(m: re.Match) -> str:
     w = m[0].translate(_PLAINLY).lower()
-    return "+" if w == "plus" else " " if w[0] == "," else _DIGITS[w]
+    return "+" if w in ("plus", "más", "mas") else " " if w[0] == "," else _DIGITS[w]
+
+
+def _spoken(m: re.Match) -> str:
+    """'joe arroba ejemplo punto es', 'joe at beispiel punkt de'; 'joe at example.com' only where it reads as an address.
+
+    That is: the name holds a digit or one of ._%+- inside, or stands at the very start, or a word such as mail or
+    contact, a colon, bracket or quote comes within two words before it, and the last label is of one case. 'point'
+    does not follow 'at'.
+    """
+    plain_at, domain = m["at"].lower() == "at", m["domain"]
+    spelled = _SPOKEN_DOT.search(domain)
+    if plain_at and spelled and " point " in domain.lower():
+        return m[0]
+    if plain_at and not spelled:
+        if not ((last := domain.rpartition(".")[2]).islower() or last.isupper()):
+            return m[0]
+        before = m.string[max(0, m.start() - 120) : m.start()]
+        name = re.search(r"[A-Za-z0-9._%+-]+$", before)[0]
+        lead = before[: -len(name)]
+        if lead and not re.search(r"[0-9._%+-]", name.strip(".-")) and not _CUE.search(lead):
+            return m[0]
+    return "@" + _SPOKEN_DOT.sub(".", domain)
 
 
 def disguised(text: str) -> bool:
@@ -167,7 +199,9 @@ def disguised(text: str) -> bool:
         return True
     if _MARKED.search(text):
         return True
-    return ("one" in low and _ONES.search(low) is not None) or (any(w in low for w in _OTHERS) and _RUN.search(low) is not None)
+    if (" at " in low or " aro" in low or " arr" in low) and any(_spoken(m) != m[0] for m in _SPOKEN.finditer(text)):
+        return True
+    return _RUN.search(text) is not None
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
@@ -191,6 +225,7 @@ def rewritten_spans(text: str, base: list[Span]) -> list[Span]:
         r.apply(_WORD, inside)
         r.apply(re.compile(r"\+ +(?=[0-9])"), lambda m: "+")
     r.apply(_BRACKETED, lambda m: "@" if m["at"] else ".")
+    r.apply(_SPOKEN, _spoken)
     if "@" in r.text or " at " in r.text.lower():
         r.apply(_PLAIN, lambda m: "@" if "dot" not in m[0].lower() else ".")
     out = []
