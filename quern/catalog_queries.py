@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.engine import ValueTable
-from quern.plans.virtual import PointInTime
+from quern.engine import DENIED, Engine, ValueTable
+from quern.model import Field, Model, Object
+from quern.plans.virtual import Boundary, PointInTime
 from quern.sample_model import engine
+from quern.sources.catalog import Catalog
 
 D = datetime.datetime
 _Q = "CAST(l_quantity AS DECIMAL(18,2))"
@@ -41,8 +44,9 @@ _add("parameters", "SELECT COUNT(*) AS N FROM Document.Orders AS D WHERE D.Date
 # -- functions ---------------------------------------------------------------------------------
 _add("string_functions", "SELECT C.Ref AS Ref, SUBSTRING(C.Description, 3, 4) AS A, SUBSTRING(C.Description, -1, 4) AS A2, STRINGLENGTH(C.Description) AS L, UPPER(C.Segment) AS U, LOWER(C.Segment) AS W, LEFT(C.Segment, 2) AS F, RIGHT(C.Segment, 3) AS G, STRFIND(C.Description, \"#\") AS P, STRREPLACE(C.Description, \"0\", \"-\") AS R, TRIMALL(\"  x \") + \"|\" AS T FROM Catalog.Customers AS C",
      "SELECT c_custkey AS Ref, substr(c_name, 3, 4) AS A, substr(c_name, 1, 2) AS A2, length(c_name) AS L, upper(c_mktsegment) AS U, lower(c_mktsegment) AS W, left(c_mktsegment, 2) AS F, right(c_mktsegment, 3) AS G, instr(c_name, '#') AS P, replace(c_name, '0', '-') AS R, 'x|' AS T FROM customer")
-_add("number_functions", "SELECT C.Ref AS Ref, ROUND(C.Balance, 1) AS R, INT(C.Balance) AS I, ROUND(SQRT(4) + POW(2, 3) + EXP(0) + LOG(1) + LOG10(100) + COS(0) + SIN(0) + TAN(0) + ACOS(1) + ASIN(0) + ATAN(0), 3) AS S FROM Catalog.Customers AS C",
-     "SELECT c_custkey AS Ref, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS R, CAST(trunc(CAST(c_acctbal AS DECIMAL(18,2))) AS BIGINT) AS I, 14.0::DOUBLE AS S FROM customer")
+_B = "CAST(c_acctbal AS DECIMAL(18,2))"
+_add("number_functions", "SELECT C.Ref AS Ref, ROUND(C.Balance, 1) AS R, INT(C.Balance) AS I, ROUND(SQRT(C.Balance + 1000), 6) AS Q, ROUND(EXP(C.Balance / 10000), 6) AS E, ROUND(LOG(C.Balance + 1001), 6) AS L, ROUND(LOG10(C.Balance + 1001), 6) AS G, ROUND(POW(C.Balance / 1000, 3), 4) AS P, ROUND(COS(C.Balance / 1000), 6) AS CO, ROUND(SIN(C.Balance / 1000), 6) AS SI, ROUND(TAN(C.Balance / 10000), 6) AS T, ROUND(ACOS(C.Balance / 10000), 6) AS AC, ROUND(ASIN(C.Balance / 10000), 6) AS AI, ROUND(ATAN(C.Balance / 1000), 6) AS A FROM Catalog.Customers AS C",
+     f"SELECT c_custkey AS Ref, CAST(round({_B}, 1) AS DECIMAL(18,1)) AS R, CAST(trunc({_B}) AS BIGINT) AS I, round(sqrt(b + 1000), 6) AS Q, round(exp(b / 10000), 6) AS E, round(ln(b + 1001), 6) AS L, round(log10(b + 1001), 6) AS G, round(pow(b / 1000, 3), 4) AS P, round(cos(b / 1000), 6) AS CO, round(sin(b / 1000), 6) AS SI, round(tan(b / 10000), 6) AS T, round(acos(b / 10000), 6) AS AC, round(asin(b / 10000), 6) AS AI, round(atan(b / 1000), 6) AS A FROM (SELECT *, CAST({_B} AS DOUBLE) AS b FROM customer)")
 _add("date_functions", "SELECT D.Ref AS Ref, BEGINOFPERIOD(D.Date, MONTH) AS M, BEGINOFPERIOD(D.Date, TENDAYS) AS T, BEGINOFPERIOD(D.Date, HALFYEAR) AS H, BEGINOFPERIOD(D.Date, WEEK) AS W, ENDOFPERIOD(D.Date, QUARTER) AS Q, DATEADD(D.Date, MONTH, 1) AS A, DATEADD(D.Date, TENDAYS, 2) AS B, YEAR(D.Date) AS Y, QUARTER(D.Date) AS QN, DAYOFYEAR(D.Date) AS DY, WEEKDAY(D.Date) AS WD, WEEK(D.Date) AS WN, DATEDIFF(D.Date, DATETIME(2000,1,1), MONTH) AS DM, DATEDIFF(D.Date, DATETIME(2000,1,1), DAY) AS DD FROM Document.Orders AS D",
      """SELECT o_orderkey AS Ref, date_trunc('month', d) AS M, date_trunc('month', d) + to_days(CAST(10 * least((day(d) - 1) // 10, 2) AS INTEGER)) AS T, date_trunc('year', d) + CASE WHEN month(d) > 6 THEN INTERVAL 6 MONTH ELSE INTERVAL 0 MONTH END AS H, CAST(date_trunc('week', d) AS TIMESTAMP) AS W,
      date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 SECOND AS Q, d + INTERVAL 1 MONTH AS A, d + INTERVAL 20 DAY AS B, year(d) AS Y, quarter(d) AS QN, dayofyear(d) AS DY, isodow(d) AS WD, (dayofyear(d) + isodow(date_trunc('year', d)) - 2) // 7 + 1 AS WN, (2000 - year(d)) * 12 + 1 - month(d) AS DM, date_diff('day', d, TIMESTAMP '2000-01-01') AS DD FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders)""")
@@ -125,6 +129,107 @@ _add("separator_scan", "SELECT T.Ref AS Ref, T.Description AS D FROM Catalog.Ten
 _add("allowed_rows", "SELECT ALLOWED C.Ref AS Ref FROM Catalog.Customers AS C", "SELECT c_custkey AS Ref FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2", restrictions={"Catalog.Customers": "Nation.Region = VALUE(Catalog.Regions.Asia)"})
 
 
+# -- what else the language has ------------------------------------------------------------------
+_add("add_to_temp_table", "SELECT D.Customer AS C INTO Seen FROM Document.Orders AS D WHERE D.Status = \"F\"; SELECT D.Customer AS C ADD Seen FROM Document.Orders AS D WHERE D.Status = \"P\"; SELECT S.C AS C, COUNT(*) AS N FROM Seen AS S GROUP BY S.C",
+     "SELECT o_custkey AS C, count(*) AS N FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+_add("min_and_average", "SELECT D.Priority AS P, MIN(D.Total) AS Low, MIN(D.Date) AS First, MAX(D.Customer) AS Last, ROUND(AVG(D.Total), 2) AS Mean FROM Document.Orders AS D GROUP BY D.Priority", f"SELECT o_orderpriority AS P, min({_T}) AS Low, min(o_orderdate)::TIMESTAMP AS First, max(o_custkey) AS Last, CAST(round(sum({_T}) / count(*), 2) AS DECIMAL(18,2)) AS Mean FROM orders GROUP BY 1")
+_add("undefined_values", "SELECT COUNT(*) AS N FROM (SELECT CASE WHEN C.Segment = \"BUILDING\" THEN UNDEFINED WHEN C.Segment = \"MACHINERY\" THEN C.Nation ELSE C.Description END AS V, C.Segment AS S FROM Catalog.Customers AS C) AS T WHERE T.V = UNDEFINED AND NOT T.S = UNDEFINED", "SELECT count(*) AS N FROM customer WHERE c_mktsegment = 'BUILDING'")
+_add("system_enumerations", "SELECT M.RecordType = VALUE(AccumulationRecordType.Expense) AS E, COUNT(*) AS N FROM AccumulationRegister.Stock AS M WHERE M.RecordType IN (VALUE(ВидДвиженияНакопления.Приход), VALUE(ВидДвиженияНакопления.Расход)) AND VALUE(AccountingRecordType.Credit) = 1 AND VALUE(AccountType.ActivePassive) = 2 GROUP BY M.RecordType = VALUE(AccumulationRecordType.Expense)",
+     "SELECT l_returnflag = 'R' AS E, count(*) AS N FROM lineitem GROUP BY 1")
+_add("ext_dimensions_by_kinds", "SELECT T.Account AS Account, T.ExtDimension1 AS X, T.AmountBalance AS B FROM AccountingRegister.Ledger.Balance(DATETIME(1997,1,1), Account < 2, &Kinds) AS T",
+     f"SELECT acc AS Account, x AS X, sum(a) AS B FROM (SELECT l_suppkey % 5 AS acc, l_suppkey AS x, l_returnflag AS f, {_A} AS a FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' UNION ALL SELECT l_partkey % 7, l_partkey, l_returnflag, -{_A} FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01') WHERE acc < 2 GROUP BY 1, 2 HAVING sum(a) <> 0", {"Kinds": ["party"]}, ext_kinds={"AccountingRegister.Ledger": ["party"]})
+_add("ext_dimension_values", "SELECT V.Correspond AS Side, V.Kind AS K, COUNT(*) AS N, SUM(V.Value) AS S FROM AccountingRegister.Ledger.Субконто AS V WHERE V.Period < DATETIME(1997,1,1) GROUP BY V.Correspond, V.Kind", "SELECT 0 AS Side, 'party' AS K, count(*) AS N, sum(l_suppkey) AS S FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' UNION ALL SELECT 1, 'party', count(*), sum(l_partkey) FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'", ext_kinds={"AccountingRegister.Ledger": ["party"]})
+_add("totals_periods", "SELECT BEGINOFPERIOD(D.Date, YEAR) AS Y, SUM(D.Total) AS Total FROM Document.Orders AS D GROUP BY BEGINOFPERIOD(D.Date, YEAR) ORDER BY Y TOTALS SUM(Total), MIN(Total) AS Least, AVG(Total) AS Mean BY OVERALL, Y PERIODS(YEAR)",
+     f"WITH g AS (SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS y, sum({_T}) AS t FROM orders GROUP BY 1) SELECT y AS Y, t AS Total, CAST(NULL AS DECIMAL(38,2)) AS Least, NULL AS Mean FROM g UNION ALL SELECT y, t, t, t FROM g UNION ALL SELECT NULL, sum(t), min(t), round(sum(t) / count(*), 6) FROM g")
+for _name, _moment, _sql in (
+    ("balance_at_boundary", Boundary(D(1997, 6, 2), True), "l_shipdate <= TIMESTAMP '1997-06-02'"), ("balance_before_boundary", Boundary(D(1997, 6, 2), False), "l_shipdate < TIMESTAMP '1997-06-02'"),
+    ("balance_at_point", PointInTime(D(1997, 6, 2), 3000), "(l_shipdate < TIMESTAMP '1997-06-02' OR l_shipdate = TIMESTAMP '1997-06-02' AND l_orderkey < 3000)"), ("balance_through_point", Boundary(PointInTime(D(1997, 6, 2), 3000), True), "(l_shipdate < TIMESTAMP '1997-06-02' OR l_shipdate = TIMESTAMP '1997-06-02' AND l_orderkey <= 3000)"),
+):
+    _add(_name, "SELECT T.Supplier AS S, T.QuantityBalance AS Q FROM AccumulationRegister.Stock.Balance(&Moment, Supplier <= 5) AS T", f"SELECT S, sum(q) AS Q FROM (SELECT l_partkey, l_suppkey AS S, sum({_SGN} * {_Q}) AS q, sum({_SGN} * {_A}) AS a FROM lineitem WHERE {_sql} AND l_suppkey <= 5 GROUP BY 1, 2) WHERE q <> 0 OR a <> 0 GROUP BY 1", {"Moment": _moment})
+_add("unique_labels", "SELECT N.Ref AS A, N.Region AS a, N.Region.Description, N.Region.Description FROM Catalog.Nations AS N", "SELECT n_nationkey AS \"A\", n_regionkey AS \"a_2\", r_name AS \"RegionDescription\", r_name AS \"RegionDescription_2\" FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+_add("in_query_of_mixed_values", "SELECT T.S AS S, COUNT(*) AS N FROM (SELECT CASE WHEN C.Segment = \"BUILDING\" THEN C.Nation ELSE C.Segment END AS V, C.Segment AS S FROM Catalog.Customers AS C) AS T WHERE T.V IN (SELECT CASE WHEN X.Region = 1 THEN X.Ref ELSE \"MACHINERY\" END FROM Catalog.Nations AS X) GROUP BY T.S",
+     "SELECT c_mktsegment AS S, count(*) AS N FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' OR c_mktsegment = 'BUILDING' AND n_regionkey = 1 GROUP BY 1")
+_add("in_list_of_mixed_values", "SELECT COUNT(*) AS N FROM (SELECT CASE WHEN C.Segment = \"BUILDING\" THEN C.Nation ELSE C.Segment END AS V FROM Catalog.Customers AS C) AS T WHERE T.V IN (\"MACHINERY\", \"BUILDING\", 3)", "SELECT count(*) AS N FROM customer WHERE c_mktsegment = 'MACHINERY'")
+_add("nested_join_group", "SELECT R.Description AS R, COUNT(C.Ref) AS N FROM Catalog.Regions AS R LEFT JOIN (Catalog.Nations AS N INNER JOIN Catalog.Customers AS C ON C.Nation = N.Ref AND C.Balance > 9000) ON N.Region = R.Ref GROUP BY R.Description", f"SELECT r_name AS R, count(c_custkey) AS N FROM region LEFT JOIN (nation JOIN customer ON c_nationkey = n_nationkey AND {_B} > 9000) ON n_regionkey = r_regionkey GROUP BY 1")
+_add("separator_join", "SELECT N.Ref AS N, COUNT(T.Ref) AS C FROM Catalog.Nations AS N LEFT JOIN Catalog.TenantCustomers AS T ON T.Tenant = N.Ref GROUP BY N.Ref", "SELECT n_nationkey AS N, count(c_custkey) AS C FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 7) ON c_nationkey = n_nationkey GROUP BY 1", separators={"Tenant": 7})
+_add("order_in_nested_query", "SELECT T.R AS R FROM (SELECT TOP 7 D.Ref AS R FROM Document.Orders AS D ORDER BY D.Total DESC, D.Ref) AS T ORDER BY R AUTOORDER", f"SELECT o_orderkey AS R FROM orders ORDER BY {_T} DESC, o_orderkey LIMIT 7")
+_add("not_in_query", "SELECT C.Ref AS Ref FROM Catalog.Customers AS C WHERE C.Nation NOT IN (SELECT S.Nation FROM Catalog.Suppliers AS S WHERE S.Ref < 9)", "SELECT c_custkey AS Ref FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 9)")
+_add("not_in_query_with_nulls", "SELECT N.Region AS R, COUNT(*) AS N FROM Catalog.Nations AS N WHERE NOT N.Ref IN (SELECT CASE WHEN X.Region = 1 THEN X.Ref END FROM Catalog.Nations AS X WHERE X.Region > &From) OR N.Region = 4 GROUP BY N.Region", "SELECT n_regionkey AS R, count(*) AS N FROM nation WHERE n_regionkey = 4 GROUP BY 1", {"From": 0})
+_add("not_in_empty_query", "SELECT COUNT(*) AS N FROM (SELECT CASE WHEN C.Balance > 0 THEN C.Nation END AS V FROM Catalog.Customers AS C) AS T WHERE T.V NOT IN (SELECT X.Ref FROM Catalog.Nations AS X WHERE X.Ref < 0)", "SELECT count(*) AS N FROM customer")
+_add("text_equality", "SELECT C.Segment AS S, COUNT(*) AS N FROM Catalog.Customers AS C WHERE C.Segment + \"  \" = \"BUILDING \" OR C.Segment IN (\"MACHINERY   \", &Other) GROUP BY C.Segment", "SELECT c_mktsegment AS S, count(*) AS N FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1", {"Other": "FURNITURE "})
+_add("composite_dereference", "SELECT J.Ref.Status AS S, J.Ref.Reason AS R, COUNT(*) AS N FROM DocumentJournal.AllOrders AS J GROUP BY J.Ref.Status, J.Ref.Reason", "SELECT o_orderstatus AS S, CAST(NULL AS VARCHAR) AS R, count(*) AS N FROM orders GROUP BY 1")
+_add("full_name_as_qualifier", "SELECT Catalog.Nations.Description AS D FROM Catalog.Nations WHERE Catalog.Nations.Region = 1", "SELECT n_name AS D FROM nation WHERE n_regionkey = 1")
+_add("record_numbers", "SELECT COUNT(DISTINCT T.N) AS N, MIN(T.N) AS First FROM (SELECT RECORDAUTONUMBER() AS N, C.Ref AS R FROM Catalog.Customers AS C) AS T", "SELECT count(*) AS N, 1 AS First FROM customer")
+_add("rule_with_inner_join", "SELECT C.Ref AS Ref FROM Catalog.Customers AS C", "SELECT c_custkey AS Ref FROM customer WHERE EXISTS (SELECT 1 FROM supplier JOIN nation ON n_regionkey = 2 WHERE s_nationkey = c_nationkey AND n_nationkey = s_nationkey AND s_suppkey < 60)",
+     restrictions={"Catalog.Customers": "ТекущаяТаблица КАК T ВНУТРЕННЕЕ СОЕДИНЕНИЕ Справочник.Поставщики КАК S ПО S.Nation = T.Nation ВНУТРЕННЕЕ СОЕДИНЕНИЕ Catalog.Nations КАК N ПО N.Ref = S.Nation ГДЕ N.Region = &Home И S.Ref < 60"}, restricted=True, session={"Home": 2})
+_add("rule_with_outer_join", "SELECT C.Nation.Description AS D, COUNT(*) AS N FROM Catalog.Customers AS C GROUP BY C.Nation.Description", "SELECT n_name AS D, count(*) AS N FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey > 0 WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey < 20) GROUP BY 1",
+     restrictions={"Catalog.Customers": "LEFT JOIN Catalog.Suppliers AS S ON S.Nation = ТекущаяТаблица.Nation AND S.Ref < 20 WHERE S.Ref IS NULL", "Catalog.Nations": "Region.Ref > 0"}, restricted=True)
+_add("rule_with_join_of_movements", "SELECT M.Supplier AS S, COUNT(*) AS N FROM AccumulationRegister.Stock AS M GROUP BY M.Supplier", "SELECT l_suppkey AS S, count(*) AS N FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 WHERE p_partkey IS NULL OR p_brand = 'Brand#13' GROUP BY 1",
+     restrictions={"AccumulationRegister.Stock": "LEFT JOIN Catalog.Parts AS P ON P.Ref = Part AND P.Size > 25 WHERE P.Ref IS NULL OR P.Brand = \"Brand#13\""}, restricted=True)
+_add("rule_over_a_virtual_table", "SELECT T.Part AS P, T.QuantityBalance AS Q FROM AccumulationRegister.Stock.Balance(, Supplier > 3) AS T", f"SELECT l_partkey AS P, sum(q) AS Q FROM (SELECT l_partkey, l_suppkey, sum({_SGN} * {_Q}) AS q, sum({_SGN} * {_A}) AS a FROM lineitem WHERE l_suppkey > 3 AND l_suppkey <= 6 GROUP BY 1, 2) WHERE q <> 0 OR a <> 0 GROUP BY 1",
+     restrictions={"AccumulationRegister.Stock": "Supplier <= &Most"}, restricted=True, session={"Most": 6})
+_add("rule_in_russian_parts", "ВЫБРАТЬ РАЗРЕШЕННЫЕ МАКСИМУМ(К.Остаток) КАК M, МИНИМУМ(К.Остаток) КАК L, СУММА(К.Остаток) КАК S, КОЛИЧЕСТВО(*) КАК N ИЗ Справочник.Клиенты КАК К ГДЕ ЛЕВ(К.Наименование, 8) = \"Customer\" И К.Остаток МЕЖДУ -500 И 5000 И К.Страна ЕСТЬ НЕ NULL И ГОД(ДАТАВРЕМЯ(2020, 2, 29)) = 2020 И ПОДСТРОКА(\"абв\", 2, 1) = \"б\"",
+     f"SELECT max({_B}) AS M, min({_B}) AS L, sum({_B}) AS S, count(*) AS N FROM customer WHERE {_B} BETWEEN -500 AND 5000 AND c_nationkey < 12", restrictions={"Catalog.Customers": "Страна В (ВЫБРАТЬ С.Ссылка ИЗ Справочник.Страны КАК С ГДЕ С.Ссылка < 12)"})
+
+
+def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object whose rows come from its own table and from an extension's with one more column."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tables = {"nation": nation.where("n_nationkey < 20"), "more": nation.where("n_nationkey >= 15").withColumn("extra", F.lit(1))}
+    places = Object("Catalog", "Places", [Field("Ref", "n_nationkey", "ref", (), ("Catalog.Places",)), Field("Region", "n_regionkey", "number")], "nation", extensions=("more",))
+    return Engine(spark, Model([places]), tables.__getitem__).query("SELECT P.Region AS R, COUNT(*) AS N, COUNT(DISTINCT P.Ref) AS D FROM Catalog.Places AS P GROUP BY P.Region")
+
+
+def _uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of sixteen bytes, as unique identifiers; one is of several types."""
+    ref = lambda name, sql, *targets: Field(name, sql, "ref", (), targets)
+    regions = Object("Catalog", "Regions", [ref("Ref", "unhex(md5(r_name))", "Catalog.Regions")], "region", (), 1)
+    nations = Object("Catalog", "Nations", [ref("Ref", "unhex(md5(n_name))", "Catalog.Nations"), Field("Name", "n_name", "string"), ref("Any", "named_struct('type', 1, 'ref', upper(md5(cast(n_regionkey as string))))", "Catalog.Regions", "Catalog.Nations")], "nation", (), 2)
+    e = Engine(spark, Model([regions, nations]), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return e.query("SELECT N.Name AS N, UUID(N.Ref) AS U, UUID(N.Any) AS A FROM Catalog.Nations AS N")
+
+
+_H = "substr(h, 25, 8) || '-' || substr(h, 21, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 1, 4) || '-' || substr(h, 5, 12)"
+
+
+def _checked(rule: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Balances by segment: one part of the rows may not be seen."""
+        pens = Object("AccumulationRegister", "Money", [Field("Period", "CAST(NULL AS timestamp_ntz)", "date"), Field("Active", "true", "boolean"), Field("RecordType", "0", "number"), Field("Segment", "c_mktsegment", "string", purpose="dimension"), Field("Sum", "CAST(c_acctbal AS decimal(18,2))", "number", purpose="resource")], "customer")
+        e = Engine(spark, Model([pens]), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), restricted=True, restrictions={"AccumulationRegister.Money": rule}, session={"Mine": "BUILDING"})
+        return e.checked_balance("SELECT T.Segment AS Segment, T.SumBalance AS B FROM AccumulationRegister.Money.Balance(, Segment = &S) AS T", {"S": "BUILDING"}).withColumnRenamed("__forbidden_row", "Forbidden")
+
+    return run
+
+
+def _catalog(text: str, **how):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Catalog(engine(spark, sf_dir, **how)).sql(text)
+
+    return run
+
+
+_SEEN = f"SELECT c_mktsegment AS Segment, sum({_B}) AS B, FALSE AS Forbidden FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1"
+#: name -> (function, DuckDB SQL): what is more than one text over the sample model.
+MORE: dict[str, tuple] = {
+    "extension_rows": (_extended, "SELECT n_regionkey AS R, count(*) AS N, count(DISTINCT n_nationkey) AS D FROM (SELECT * FROM nation WHERE n_nationkey < 20 UNION ALL SELECT * FROM nation WHERE n_nationkey >= 15) GROUP BY 1"),
+    "uuid_byte_order": (_uuids, f"SELECT n_name AS N, (SELECT {_H} FROM (SELECT md5(n_name) AS h)) AS U, (SELECT {_H} FROM (SELECT md5(CAST(n_regionkey AS VARCHAR)) AS h)) AS A FROM nation"),
+    "checked_balance_allowed": (_checked("Segment = &Mine"), _SEEN),
+    "checked_balance_forbidden": (_checked('Segment = "MACHINERY"'), "SELECT CAST(NULL AS VARCHAR) AS Segment, CAST(NULL AS DECIMAL(38,2)) AS B, TRUE AS Forbidden"),
+    "catalog_columns": (_catalog("SELECT c.column_name, c.ordinal_position AS at, c.data_type FROM information_schema.columns c WHERE c.table_name = 'Catalog.Nations' AND c.data_type = ANY (ARRAY['bytea', 'text']) ORDER BY 2 LIMIT 10"), "SELECT * FROM (VALUES ('Ref', 1, 'bytea'), ('Description', 2, 'text'), ('Region', 3, 'bytea')) t(column_name, \"at\", data_type)"),
+    "catalog_joins_and_aggregates": (
+        _catalog("WITH named AS (SELECT c.oid, c.relname, n.nspname FROM pg_catalog.pg_class c LEFT JOIN pg_catalog.pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'v') AND n.nspname !~ '^pg_' AND pg_catalog.pg_table_is_visible(c.oid)) SELECT named.relname, count(*) AS n, max(a.attnum) AS last, string_agg(a.attname, ',') WITHIN GROUP (ORDER BY a.attnum) AS names FROM named JOIN pg_attribute a ON a.attrelid = named.oid WHERE named.relname OPERATOR(pg_catalog.~) '^Catalog[.](Nations|Regions)$' AND NOT a.attisdropped GROUP BY named.relname HAVING count(*) > 1"),
+        "SELECT * FROM (VALUES ('Catalog.Nations', 3, 3, 'Ref,Description,Region'), ('Catalog.Regions', 2, 2, 'Ref,Description')) t(relname, n, last, names)",
+    ),
+    "catalog_functions": (
+        _catalog("SELECT x.k::text AS k, 'a::text' AS same, 'unnest(b)' AS too, format_type(25, NULL) AS f, quote_ident('a B') AS q, array_to_string(ARRAY['x', 'y'], '-') AS j, array_upper(ARRAY[5, 6], 1) AS u, coalesce(nullif(lower('A'), 'b'), 'c') AS c, greatest(1, 2) AS g, CASE WHEN 'Abc' ~* 'B' AND 'Abc' ILIKE 'a%' AND NULL IS NOT DISTINCT FROM NULL THEN 'yes' ELSE 'no' END AS r, current_schema() AS s, has_table_privilege('Catalog.Nations', 'SELECT') AS may, has_table_privilege('Catalog.Secret', 'SELECT') AS no FROM generate_series(1, 3) AS x(k) UNION ALL VALUES ('v', 'w', 'x', 'y', 'z', 'j', 0, 'c', 0, 'r', 's', true, false)"),
+        "SELECT k::VARCHAR AS k, 'a::text' AS same, 'unnest(b)' AS too, 'text' AS f, '\"a B\"' AS q, 'x-y' AS j, 2 AS u, 'a' AS c, 2 AS g, 'yes' AS r, 'public' AS s, TRUE AS may, FALSE AS no FROM range(1, 4) t(k) UNION ALL VALUES ('v', 'w', 'x', 'y', 'z', 'j', 0, 'c', 0, 'r', 's', true, false)",
+    ),
+    "catalog_of_a_restricted_user": (_catalog("SELECT table_name, has_table_privilege(table_schema || '.' || table_name, 'SELECT') AS odd, has_table_privilege(table_name, 'SELECT') AS may FROM information_schema.tables UNION SELECT 'Catalog.Parts', false, has_table_privilege('Catalog.Parts', 'SELECT')", restricted=True, restrictions={"Catalog.Nations": None, "Catalog.Regions": "Ref > 1", "Catalog.Parts": DENIED}), "SELECT * FROM (VALUES ('Catalog.Nations', FALSE, TRUE), ('Catalog.Regions', FALSE, TRUE), ('Catalog.Parts', FALSE, FALSE)) t(table_name, odd, may)"),
+    "catalog_keys": (_catalog("SELECT k.column_name AS c, t.constraint_type AS t, EXISTS (SELECT 1 FROM information_schema.columns x WHERE x.table_name = k.table_name AND x.column_name = k.column_name) AS e FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k USING (constraint_name) WHERE t.table_name = 'Document.Orders' ORDER BY t DESC NULLS LAST OFFSET 0"), "SELECT * FROM (VALUES ('Ref', 'PRIMARY KEY', TRUE), ('Customer', 'FOREIGN KEY', TRUE)) t(c, t, e)"),
+}
+
+
 def _runner(name: str):
     text, params, how, _ = QUERIES[name]
 
@@ -136,8 +241,8 @@ def _runner(name: str):
 
 
 def queries() -> dict:
-    return {name: _runner(name) for name in QUERIES}
+    return {name: _runner(name) for name in QUERIES} | {name: run for name, (run, _) in MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q[3] for name, q in QUERIES.items()}
+    return {name: q[3] for name, q in QUERIES.items()} | {name: sql for name, (_, sql) in MORE.items()}

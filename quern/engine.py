@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from typing import Any
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from quern.lang import ast
 from quern.lang.diag import QueryError
-from quern.lang.parser import parse
-from quern.model import Model, Object
+from quern.lang.parser import parse, parse_restriction
+from quern.model import SERVICE, STANDARD, Model, Object
+from quern.operators import accounting
 from quern.operators import totals as totals_op
+from quern.plans import restrict
 from quern.plans.expressions import TAGS, Lower, composite_type, group_name, literal, python_value
 from quern.plans.scope import Bound, Scope, Src, Val, bind
 from quern.plans.virtual import TABLES, VirtualTable
@@ -37,7 +40,10 @@ def unique_labels(labels: list[str]) -> list[str]:
 class Engine:
     """tables: name -> DataFrame. separators: separator -> value. restrictions: object's full name -> condition text, or DENIED.
 
-    With restricted=True every object that a statement reads needs an entry in restrictions (None: unrestricted).
+    With restricted=True every statement is filtered, every object that it reads needs an entry in restrictions (None:
+    unrestricted), and what cannot be filtered is refused: descents of hierarchies, hierarchical totals, constants,
+    filter criteria, projected sections, and temporary tables from before. A rule's own reads are not restricted, and
+    it sees session parameters only.
     """
 
     def __init__(self, spark: SparkSession, model: Model, tables: Callable[[str], DataFrame], session: dict[str, Any] | None = None, separators: dict[str, Any] | None = None, restrictions: dict[str, Any] | None = None, restricted: bool = False, ext_kinds: dict[str, list] | None = None, materialize: Callable[[DataFrame], DataFrame] | None = None):
@@ -49,7 +55,9 @@ class Engine:
         self._params: dict[str, Any] = {}
         self._used: set[str] = set()
         self._allowed = False
-        self._within: set[str] = set()
+        self._in_rule = False
+        self._binary: dict[str, bool] = {}  # objects whose references are bytes
+        self._unfiltered: set[str] = set()  # temporary tables made while the engine was not restricted
 
     # -- statements --------------------------------------------------------------------------
     def query(self, text: str, params: dict[str, Any] | None = None, totals_level: bool = False) -> DataFrame:
@@ -73,13 +81,19 @@ class Engine:
 
     def parameter(self, name: str) -> Any:
         low = name.lower()
-        self._used.add(low)
-        if low in self._params:
-            return self._params[low]
+        if not self._in_rule:
+            self._used.add(low)
+            if low in self._params:
+                return self._params[low]
         for k, v in self.session.items():
             if k.lower() == low:
                 return v
-        raise QueryError("parameter", f"&{name} has no value")
+        raise QueryError("parameter", f"{'session parameter ' if self._in_rule else ''}&{name} has no value")
+
+    def refuse(self, what: str) -> None:
+        """Some reads cannot be filtered."""
+        if self.restricted and not self._in_rule:
+            raise QueryError("unsupported", f"{what} under restrictions")
 
     def _statement(self, s: ast.Node, level: bool) -> DataFrame:
         if isinstance(s, ast.Drop):
@@ -105,6 +119,9 @@ class Engine:
                     raise QueryError("unknown_field", "an index over what is no column")
             df = self.materialize(df) if self.materialize else df
             self.temp[name] = (df, columns)
+            self._unfiltered.discard(name)
+            if not self.restricted:
+                self._unfiltered.add(name)
         else:
             if name not in self.temp:
                 raise QueryError("temp_table", f"{s.add} does not exist")
@@ -148,27 +165,35 @@ class Engine:
             base = base.where(F.expr(obj.find(name).sql) == F.lit(self.separators[separator]))
         return base.select(*[F.expr(f.sql).alias(f.name) for f in obj.fields])
 
-    def relation(self, obj: Object, alias: str, restricted: bool = True) -> tuple[DataFrame, Src]:
+    def relation(self, obj: Object, alias: str) -> tuple[DataFrame, Src]:
         df, src = bind(self.frame(obj), alias, [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj)
+        if self._in_rule:
+            return df, src
         full = obj.full_name
         if self.restricted and full not in self.restrictions:
             raise QueryError("restriction", f"{full} has no decision")
         rule = self.restrictions.get(full)
-        if restricted and (self._allowed or self.restricted) and full in self.restrictions and rule is not None and full not in self._within:
-            if rule is DENIED:
-                return df.where(F.lit(False)), src
-            # The rule's own reads are not restricted again.
-            self._within.add(full)
-            try:
-                scope = Scope(self, df, [Src(full.split(".")[1], src.fields, src.order, obj)])
-                e = parse(f"SELECT 1 FROM {full} WHERE {rule}")[0].branches[0][0].where
-                condition = Lower(self, scope).condition(e)
-                df = scope.df.where(condition)
-            finally:
-                self._within.discard(full)
-        return df, src
+        if rule is None or not (self._allowed or self.restricted):
+            return df, src
+        if rule is DENIED:
+            return df.where(F.lit(False)), src
+        self._in_rule = True
+        try:
+            return restrict.apply(self, df, src, rule), src
+        finally:
+            self._in_rule = False
 
     # -- values ------------------------------------------------------------------------------
+    def key_text(self, full: str, key: Column) -> Column:
+        """A reference's key as text; of binary keys, their hexadecimal digits."""
+        return F.hex(key) if self.binary_key(full) else key.cast("string")
+
+    def binary_key(self, full: str) -> bool:
+        if full not in self._binary:
+            obj = self.object(full)
+            self._binary[full] = obj.find("Ref") is not None and dict(self.frame(obj).dtypes)["Ref"] == "binary"
+        return self._binary[full]
+
     def text(self, v: Val) -> Val:
         if v.kind == "date":
             return Val(F.date_format(v.col.cast("timestamp"), "dd.MM.yyyy HH:mm:ss"), "string")
@@ -182,7 +207,7 @@ class Engine:
         if v.wide or v.kind != "ref":
             return v
         no = self.object(v.targets[0]).type_no
-        return Val(F.when(v.col.isNotNull(), F.struct(F.lit(no).alias("type"), v.col.cast("string").alias("ref"))), "ref", (*v.targets, ""))
+        return Val(F.when(v.col.isNotNull(), F.struct(F.lit(no).alias("type"), self.key_text(v.targets[0], v.col).alias("ref"))), "ref", (*v.targets, ""))
 
     def composite(self, v: Val) -> Val:
         if v.kind == "composite":
@@ -307,6 +332,8 @@ class Engine:
             found = self.temp.get(parts[0].lower())
             if found is None:
                 raise QueryError("unknown_object", parts[0])
+            if parts[0].lower() in self._unfiltered:
+                self.refuse("a temporary table that was made without them")
             df, columns = found
             return bind(df.select(*[F.col(c.column).alias(c.name) for c in columns]), x.alias or parts[0], [(c.name, (), c.kind, c.targets) for c in columns])
         obj = self.model.find(parts[0], parts[1]) if len(parts) > 1 else None
@@ -324,11 +351,81 @@ class Engine:
             if "*" in used and not name.startswith("SLICE"):
                 raise QueryError("unsupported", "* of a virtual table")
             return VirtualTable(self, obj, name, x.args, used, alias).build()
-        for section, child in obj.sections.items():
-            if parts[2].lower() in {n.lower() for n in (section, *child.aliases)}:
-                return self.relation(child, alias)
+        if (child := obj.section(parts[2])) is not None:
+            return self.relation(child, alias)
+        if obj.ext_dimensions and parts[2].lower() in {n.lower() for n in ("ExtDimensions", *SERVICE["ExtDimensions"])}:
+            return self._ext_values(obj, alias)
         raise QueryError("unknown_object", ".".join(parts))
 
+    def _ext_values(self, obj: Object, alias: str) -> tuple[DataFrame, Src]:
+        """The extra-dimension values of an accounting register's records, where the model names no table of them."""
+        df, src = self.relation(obj, "")
+        keep = [src.find(n) for n in ("Period", "Recorder", "LineNumber") if src.find(n)]
+        levels = [(kind, src.find(f"ExtDimension{k}Dr"), src.find(f"ExtDimension{k}Cr")) for k, kind in enumerate(self.ext_dimension_kinds(obj), 1)]
+        out = accounting.ext_dimension_values(df, [b.column for b in keep], [(kind, d.column, c.column) for kind, d, c in levels])
+        columns = [(b.column, (b.name, *STANDARD[b.name]), b.kind, b.targets) for b in keep]
+        value = levels[0][1]
+        out, bound = bind(out, alias, columns + [("Correspond", ("RecordType", "ВидДвижения"), "number", ()), ("Kind", ("Вид",), "unknown", ()), ("Value", ("Значение",), value.kind, value.targets)])
+        for b, own in zip(bound.order, keep):
+            b.name = own.name
+        return out, bound
+
+    def checked_balance(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
+        """A current balance that is read without ALLOWED under restrictions: the rows with __forbidden_row FALSE, or, if
+        there is a balance that a rule hides, one row of nulls with __forbidden_row TRUE.
+
+        Only one SELECT of plain fields from one accumulation register's Balance, without a period; its condition and
+        the rule are equalities of a text dimension with a text or parameter. Data and check are one plan.
+        """
+        if not self.restricted:
+            raise QueryError("restriction", "balances are checked under restrictions")
+        statements = parse(text)
+        q = statements[0]
+        s = q.branches[0][0] if isinstance(q, ast.Query) else None
+        x = s.sources[0] if s is not None and len(s.sources) == 1 else None
+        parts = x.parts if isinstance(x, ast.Source) else []
+        obj = self.model.find(*parts[:2]) if len(parts) == 3 else None
+        plain = (
+            len(statements) == 1 and s is not None and len(q.branches) == 1 and not (q.order or q.totals or q.into or q.add or q.index) and not (s.distinct or s.group or s.allowed) and s.top is None and s.where is None and s.having is None
+            and obj is not None and obj.kind == "AccumulationRegister" and TABLES.get(parts[2].upper()) == "BALANCE" and all(isinstance(e, ast.Path) and (len(e.parts) == 1 or len(e.parts) == 2 and e.parts[0].lower() == (x.alias or "").lower()) for e, _ in s.items)
+        )
+        args = (x.args or []) if plain else []
+        if not plain or (args and args[0] is not None):
+            raise QueryError("restriction", "only a plain SELECT of a current balance is checked")
+        for condition in args[1:]:
+            self._dimension_equality(obj, condition)
+        df = self.query(text, params)
+        rule = self.restrictions.get(obj.full_name)
+        if rule is None:
+            return df.withColumn("__forbidden_row", F.lit(False))
+        if rule is DENIED:
+            opposite = None
+        else:
+            parsed = parse_restriction(rule)
+            if parsed.alias or parsed.joins:
+                raise QueryError("restriction", "only a plain equality of a dimension is checked")
+            self._dimension_equality(obj, parsed.condition)
+            opposite = f"NOT ISNULL({rule}, FALSE)"
+        every = ast.Query([(dataclasses.replace(s, items=[(ast.Path([f.name]), None) for f in obj.by_purpose("dimension")]), False)])
+        kept = self.restrictions
+        self.restrictions = kept | {obj.full_name: opposite}
+        try:
+            self._params, self._used = {k.lower(): v for k, v in (params or {}).items()}, set()
+            hidden, _ = self._query(every, None, top=True)
+        finally:
+            self.restrictions = kept
+        found = hidden.select(F.lit(1)).exists()
+        refused = self.spark.range(1).where(found).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes], F.lit(True).alias("__forbidden_row"))
+        return df.withColumn("__forbidden_row", F.lit(False)).where(~found).unionAll(refused)
+
+    def _dimension_equality(self, obj: Object, e: ast.Node | None) -> None:
+        if e is None:
+            return
+        field = obj.find(e.left.parts[0]) if isinstance(e, ast.Binary) and e.op == "=" and isinstance(e.left, ast.Path) and len(e.left.parts) == 1 else None
+        constant = field is not None and (isinstance(e.right, ast.Param) or isinstance(e.right, ast.Literal) and e.right.kind == "string")
+        if not constant or field.purpose != "dimension" or field.kind != "string":
+            raise QueryError("restriction", "only equalities of a text dimension are checked")
+
     def _value_table(self, x: ast.Source) -> tuple[DataFrame, Src]:
         table = self.parameter(x.param)
         if isinstance(table, DataFrame):
@@ -342,6 +439,7 @@ class Engine:
 
     def _constants(self, alias: str, used: set[str]) -> tuple[DataFrame, Src]:
         """One row, whatever was written; only constants that are used are read."""
+        self.refuse("the source of constants")
         wanted = [c for c in self.model.constants() if used & {n.lower() for n in (c.name, *c.aliases)}]
         parts, fields = None, []
         for c in wanted:
@@ -354,13 +452,14 @@ class Engine:
     def _criterion(self, obj: Object, x: ast.Source, alias: str) -> tuple[DataFrame, Src]:
         if not x.args or len(x.args) != 1:
             raise QueryError("syntax", "a filter criterion takes one value")
+        self.refuse("a filter criterion")
         value = Lower(self, Scope(self))(x.args[0])
         out, targets = None, tuple(dict.fromkeys(t for t, _ in obj.content))
         for full, name in obj.content:
             target = self.object(full)
             df, src = self.relation(target, "")
             hit = df.where(Lower(self, Scope(self)).compare("=", src.find(name).val(), value))
-            part = hit.select(F.struct(F.lit(target.type_no).alias("type"), F.col(src.find("Ref").column).cast("string").alias("ref")).alias("Ref"))
+            part = hit.select(F.struct(F.lit(target.type_no).alias("type"), self.key_text(full, F.col(src.find("Ref").column)).alias("ref")).alias("Ref"))
             out = part if out is None else out.unionAll(part)
         return bind(out, alias, [("Ref", ("Ссылка",), "ref", targets if len(targets) > 1 else (*targets, ""))])
 
@@ -527,8 +626,8 @@ class Engine:
         src = scope.source(e.parts[0]) if len(e.parts) == 2 else scope.sources[0] if len(e.parts) == 1 and len(scope.sources) == 1 else None
         if src is None or src.obj is None or src.find(e.parts[-1]):
             return None
-        low = e.parts[-1].lower()
-        return next(((src, child) for name, child in src.obj.sections.items() if low in {n.lower() for n in (name, *child.aliases)}), None)
+        child = src.obj.section(e.parts[-1])
+        return (src, child) if child is not None else None
 
     def _projected(self, e: ast.Node, scope: Scope, lower: Lower) -> Val:
         if isinstance(e, ast.Section):
@@ -547,6 +646,7 @@ class Engine:
 
     def _section_value(self, e: ast.Path, scope: Scope, only: list[str] | None = None) -> Val:
         """A section as an array of its rows, in the order of their numbers."""
+        self.refuse("a projected section")
         src, child = self._section(e, scope)
         rows, inner = self.relation(child, "")
         owner, line = inner.find("Ref"), inner.find("LineNumber")
@@ -587,15 +687,16 @@ class Engine:
                 order.append(self._direction(F.col(b.column), down))
         trees = [i for i, (_, mode, _) in enumerate(q.totals.points) if mode != "plain"]
         if trees:
+            self.refuse("hierarchical totals")
             if len(points) > 1 or points[0].kind != "ref" or len(points[0].targets) != 1:
                 raise QueryError("unsupported", "hierarchical totals beside other points, or over what is no single reference")
             obj = self.object(points[0].targets[0])
             if obj.find("Parent") is None:
                 raise QueryError("type", f"{obj.full_name} has no hierarchy")
             base = self.frame(obj).select(F.col("Ref").alias("id"), F.col("Parent").alias("parent"))
-            made = totals_op.hierarchical(df, order, points[0].column, base, sums, q.totals.overall, q.totals.points[0][1] == "only", level)
+            made = totals_op.hierarchical(df, order, points[0].column, base, sums, q.totals.overall, q.totals.points[0][1] == "only", level, self.materialize)
         else:
-            made = totals_op.totals(df, order, [p.column for p in points], sums, q.totals.overall, level)
+            made = totals_op.totals(df, order, [p.column for p in points], sums, q.totals.overall, level, self.materialize)
         return made, out
 
     def release(self) -> None:

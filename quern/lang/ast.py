@@ -181,6 +181,15 @@ class Query(Node):
     index: list[Node] = field(default_factory=list)
 
 
+@dataclass
+class Rule(Node):
+    """The text of a restriction: an alias of the restricted rows, joins (their left sides are those rows), a condition."""
+
+    alias: str | None
+    joins: list[Join]
+    condition: Node
+
+
 @dataclass
 class Drop(Node):
     name: str

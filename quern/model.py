@@ -21,6 +21,12 @@ STANDARD = {
     "Account": ("Счет",), "AccountDr": ("СчетДт", "AccountDt"), "AccountCr": ("СчетКт", "AccountCt"), "PointInTime": ("МоментВремени",), "PredefinedDataName": ("ИмяПредопределенныхДанных",),
 }
 
+#: Service tables: section and further names (fixed values).
+SERVICE = {
+    "Changes": ("Изменения",), "BaseCalculationKinds": ("BaseCalculationTypes", "БазовыеВидыРасчета"), "LeadingCalculationKinds": ("LeadingCalculationTypes", "ВедущиеВидыРасчета"),
+    "DisplacedCalculationKinds": ("DisplacingCalculationTypes", "ВытесняющиеВидыРасчета"), "ExtraDimensions": ("ВидыСубконто",), "ExtDimensions": ("Субконто",),
+}
+
 
 @dataclass(frozen=True)
 class Field:
@@ -62,6 +68,11 @@ class Object:
     def full_name(self) -> str:
         return f"{self.kind}.{self.name}"
 
+    def section(self, name: str) -> "Object | None":
+        """A tabular section or service table."""
+        low = name.lower()
+        return next((child for own, child in self.sections.items() if low in {n.lower() for n in (own, *child.aliases, *SERVICE.get(own, ()))}), None)
+
     def find(self, name: str) -> Field | None:
         low = name.lower()
         return next((f for f in self.fields if any(n.lower() == low for n in f.names)), None)

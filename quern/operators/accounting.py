@@ -126,3 +126,10 @@ def dr_cr_turnovers(rows: DataFrame, kept: list[str], resources: dict[str, Colum
         rows = rows.where(F.col(active))
     aggs = [F.sum(c).alias(n) for n, c in resources.items()]
     return rows.where(between(period, begin, end)).groupBy(*kept, *[x.alias(n) for n, x in split]).agg(*aggs)
+
+
+def ext_dimension_values(df: DataFrame, keep: list[str], levels: list[tuple]) -> DataFrame:
+    """One row for each value: Correspond (0 of the debit side, 1 of the credit side), Kind, Value. levels: (kind, debit column, credit column)."""
+    cells = [F.struct(F.lit(side).alias("Correspond"), F.lit(kind).alias("Kind"), F.col(column).alias("Value")) for kind, *both in levels for side, column in enumerate(both)]
+    rows = df.select(*keep, F.explode(F.filter(F.array(*cells), lambda x: x["Value"].isNotNull())).alias("_cell"))
+    return rows.select(*keep, "_cell.*")

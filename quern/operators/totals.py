@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from quern.operators.hierarchy import ancestors
 
 
-def _ordered(rows: DataFrame, order: list) -> DataFrame:
+def _ordered(rows: DataFrame, order: list, materialize=None) -> DataFrame:
     """Number the rows in the query's order: sorted ranges with offsets, never one task for all.
 
     The numbers are compared between the levels, which are separate branches of the plan, so the
-    numbered rows are persisted (lazily): all branches see the same ones. The call's number keeps
-    the plan of one call apart from that of another, so none reads what another has persisted.
+    numbered rows are materialised, or persisted (lazily) by default: all branches see the same ones.
+    Ties in the order go by all columns, so a part that is lost and computed anew gets the same numbers.
+    The call's number keeps the plan of one call apart from that of another, so none reads what
+    another has persisted.
     """
     rows = rows.where(F.lit(next(_calls)) > 0)
-    sorted_rows = rows.orderBy(*order) if order else rows
-    numbered = sorted_rows.withColumn("__rn", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ties = [c for c, kind in rows.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    numbered = rows.orderBy(*order, *ties).withColumn("__rn", F.monotonically_increasing_id())
+    if materialize:
+        return materialize(numbered)
+    numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
     held.append(numbered)
     return numbered
 
@@ -35,9 +40,9 @@ def release() -> None:
         held.pop().unpersist()
 
 
-def totals(rows: DataFrame, order: list, points: list[str], sums: dict[str, tuple[str, str]], overall: bool, level: bool = False) -> DataFrame:
+def totals(rows: DataFrame, order: list, points: list[str], sums: dict[str, tuple[str, str]], overall: bool, level: bool = False, materialize=None) -> DataFrame:
     """sums: output column -> (function, input column). Rows come in the order of the totals tree."""
-    df = _ordered(rows, order)
+    df = _ordered(rows, order, materialize)
     columns = [c for c in df.columns if c != "__rn"]
     out_columns = columns + [c for c in sums if c not in columns]
     agg = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "AVG": F.avg, "COUNT": F.count}
@@ -71,9 +76,9 @@ def totals(rows: DataFrame, order: list, points: list[str], sums: dict[str, tupl
     return out.select(*out_columns, *(["__level"] if level else []))
 
 
-def hierarchical(rows: DataFrame, order: list, point: str, nodes: DataFrame, sums: dict[str, tuple[str, str]], overall: bool, only: bool, level: bool = False) -> DataFrame:
+def hierarchical(rows: DataFrame, order: list, point: str, nodes: DataFrame, sums: dict[str, tuple[str, str]], overall: bool, only: bool, level: bool = False, materialize=None) -> DataFrame:
     """One hierarchical control point: every folder gets a row with the sums of its own and lower records, parents first."""
-    df = _ordered(rows, order)
+    df = _ordered(rows, order, materialize)
     columns = [c for c in df.columns if c != "__rn"]
     kinds = dict(rows.dtypes)
     agg = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "AVG": F.avg, "COUNT": F.count}

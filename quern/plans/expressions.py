@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,7 @@ def literal(value, kind: str) -> Val:
         return Val(F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast(dates.NTZ), "date")
     if kind == "number" and isinstance(value, decimal.Decimal):
         value = int(value) if value == value.to_integral_value() and value.as_tuple().exponent >= 0 and abs(value) < 2**31 else value
-    return Val(F.lit(value), kind)
+    return Val(F.lit(value), kind, text=value if kind == "string" else None)
 
 
 def python_value(engine, value) -> Val:
@@ -50,7 +51,7 @@ def python_value(engine, value) -> Val:
     if isinstance(value, (int, float, decimal.Decimal)):
         return Val(F.lit(value), "number")
     if isinstance(value, str):
-        return Val(F.lit(value), "string")
+        return Val(F.lit(value), "string", text=value)
     if isinstance(value, datetime.datetime):
         return literal(value, "date")
     if isinstance(value, (bytes, bytearray)):
@@ -153,6 +154,8 @@ class Lower:
     # -- operators ---------------------------------------------------------------------------
     def on_unary(self, e: ast.Unary) -> Val:
         if e.op == "NOT":
+            if isinstance(e.value, ast.In) and e.value.query is not None and not isinstance(e.value.value, ast.Tuple):
+                return self(dataclasses.replace(e.value, negated=not e.value.negated))
             return Val(~self.condition(e.value), "boolean")
         return Val(-self._number(e.value), "number")
 
@@ -197,9 +200,18 @@ class Lower:
         x, y = a.col, b.col
         if op == "=" and a.kind == b.kind == "string":
             # Equality, and only equality, ignores trailing spaces.
-            x, y = F.rtrim(x), F.rtrim(y)
+            if a.text is None and b.text is None:
+                return F.rtrim(x) == F.rtrim(y)
+            return self._is_one_of(x, [b.text]) if b.text is not None else self._is_one_of(y, [a.text])
         return {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
+    @staticmethod
+    def _is_one_of(x: Column, texts: list[str]) -> Column:
+        """Equality with constants without regard to trailing spaces; the test of the beginning reaches the scan."""
+        texts = list(dict.fromkeys(t.rstrip(" ") for t in texts))
+        begins = reduce(lambda p, q: p | q, [x.startswith(t) for t in texts])
+        return begins & (F.rtrim(x) == F.lit(texts[0]) if len(texts) == 1 else F.rtrim(x).isin(texts))
+
     def on_between(self, e: ast.Between) -> Val:
         v, low, high = self(e.value), self(e.low), self(e.high)
         c = self.compare(">=", v, low) & self.compare("<=", v, high)
@@ -261,32 +273,47 @@ class Lower:
                 v, c = self.engine.widened(v), self.engine.widened(c)
             elif "composite" in (v.kind, c.kind):
                 v, c = self.engine.composite(v), self.engine.composite(c)
+            if e.negated:
+                return Val(self._not_in(v, df.select(c.col.alias("_in"))), "boolean")
             found = v.col.isin(df.select(c.col.alias("_in")))
         else:
             items = self._items(e.items)
             found = reduce(lambda p, q: p | q, [self.compare("=", v, i) for i in items]) if items else _false()
             if items and all(i.kind == v.kind and v.kind in ("number", "date") for i in items):
                 found = v.col.isin([i.col for i in items])
+            elif items and v.kind == "string" and all(i.text is not None for i in items):
+                found = self._is_one_of(v.col, [i.text for i in items])
         return Val(~found if e.negated else found, "boolean")
 
+    @staticmethod
+    def _not_in(v: Val, found: DataFrame) -> Column:
+        """NOT IN with its unknowns: an anti-join on equality, and two checks that do not depend on the row.
+
+        Spark's own NOT IN would broadcast the query's whole result, whatever its size.
+        """
+        matched = found.where(F.col("_in") == v.col.outer()).exists()
+        unknown = found.where(F.col("_in").isNull()).exists() | (v.col.isNull() & found.exists())
+        return ~matched & F.when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(True))
+
     def _in_hierarchy(self, e: ast.In) -> Val:
         v = self(e.value)
         if v.kind != "ref":
             raise QueryError("type", "hierarchy of a value that is no reference")
         engine, found = self.engine, None
+        engine.refuse("a descent of a hierarchy")
         for t in v.targets:
             obj = engine.object(t)
             base = engine.frame(obj)
             if e.query is not None:
                 seeds, columns = engine.subquery(e.query, None)
-                seeds = seeds.select(columns[0].val().col.alias("node"))
+                seeds = seeds.select(columns[0].val().col.alias("node")).distinct()
             else:
                 items = self._items(e.items)
                 if any(i.kind == "ref" and i.targets != (t,) for i in items):
                     items = [i for i in items if i.kind != "ref" or i.targets == (t,)]
                 if not items:
                     continue
-                seeds = engine.spark.range(1).select(F.explode(F.array(*[i.col for i in items])).alias("node"))
+                seeds = engine.spark.range(1).select(F.explode(F.array_distinct(F.array(*[i.col for i in items]))).alias("node"))
             parent = obj.find("Parent")
             nodes = descendants(base.select(F.col("Ref").alias("id"), F.col("Parent").alias("parent")), seeds) if parent else seeds
             if v.wide:
@@ -368,7 +395,12 @@ class Lower:
             return Val(self.engine.type_of(self(e.args[0])), "type")
         if n == "UUID":
             v = self(e.args[0])
-            return Val(v.col["ref"] if v.wide else v.col.cast("string"), "uuid")
+            if v.kind != "ref" or not v.targets or not any(t and self.engine.binary_key(t) for t in v.targets):
+                return Val(v.col["ref"] if v.wide else v.col.cast("string"), "uuid")
+            digits = F.lower(v.col["ref"] if v.wide else F.hex(v.col))
+            # Sixteen bytes are stored as d, e, c, b, a of a canonical a-b-c-d-e.
+            groups = [F.substring(digits, at, n) for at, n in ((25, 8), (21, 4), (17, 4), (1, 4), (5, 12))]
+            return Val(F.when(F.length(digits) == 32, F.concat_ws("-", *groups)).otherwise(digits), "uuid")
         if n in ("PRESENTATION", "REFPRESENTATION"):
             return self.scope.presentation(self(e.args[0]))
         if n == "RECORDAUTONUMBER":

@@ -16,11 +16,12 @@ _numbers = itertools.count(1)
 
 @dataclass
 class Val:
-    """A lowered expression: its column, its kind and, for references, the objects it may point to."""
+    """A lowered expression: its column, its kind and, for references, the objects it may point to; text of a string constant."""
 
     col: Column
     kind: str
     targets: tuple[str, ...] = ()
+    text: str | None = None
 
     @property
     def wide(self) -> bool:
@@ -48,6 +49,7 @@ class Src:
     order: list[Bound]
     obj: Any = None
     key: str | None = None
+    also: tuple[str, ...] = ()  # further aliases
 
     def find(self, name: str) -> Bound | None:
         return self.fields.get(name.lower())
@@ -76,7 +78,7 @@ class Scope:
     aggregates: dict | None = None
 
     def source(self, alias: str) -> Src | None:
-        return next((s for s in self.sources if s.alias.lower() == alias.lower()), None)
+        return next((s for s in self.sources if alias.lower() in (s.alias.lower(), *map(str.lower, s.also))), None)
 
     def path(self, parts: list[str], at: int | None = None) -> Val:
         found = self._path(parts, at)
@@ -121,7 +123,7 @@ class Scope:
             if ref is None:
                 raise QueryError("type", f"{target} has no reference")
             if val.wide:
-                condition = (val.col["type"] == F.lit(obj.type_no)) & (val.col["ref"] == F.col(ref.column).cast("string"))
+                condition = (val.col["type"] == F.lit(obj.type_no)) & (val.col["ref"] == self.engine.key_text(target, F.col(ref.column)))
             else:
                 condition = val.col == F.col(ref.column)
             self.df = self.df.join(df, condition, "left")

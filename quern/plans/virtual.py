@@ -77,7 +77,7 @@ class VirtualTable:
         """The register's records under the table's own conditions, with the names of the model."""
         from quern.plans.expressions import Lower
 
-        df, src = self.engine.relation(self.obj, "", restricted=not any(self.arg(i) is not None for i in conditions))
+        df, src = self.engine.relation(self.obj, "")
         scope = Scope(self.engine, df, [src])
         for i in conditions:
             if (e := self.arg(i)) is not None:

@@ -219,3 +219,130 @@ def test_materialized_batches(spark):
 
 def test_full_name_as_qualifier(spark):
     assert rows(small(spark).query('SELECT Catalog.Firms.Description FROM Catalog.Firms WHERE Catalog.Firms.Ref = "f"')) == [("Firm F",)]
+
+
+RESTRICTED = {"Catalog.Goods": 'NOT Ref = "a"', "Document.Notes": None, "Catalog.Firms": DENIED, "AccumulationRegister.Stock": 'Item = "y"'}
+
+
+@pytest.mark.parametrize("text", [
+    'SELECT G.Ref FROM Catalog.Goods AS G WHERE G.Ref IN HIERARCHY ("a")', 'SELECT G.Ref FROM Catalog.Goods AS G WHERE G.Ref NOT IN HIERARCHY (SELECT X.Ref FROM Catalog.Goods AS X)',
+    "SELECT G.Ref AS R, 1 AS N FROM Catalog.Goods AS G TOTALS SUM(N) BY R HIERARCHY", "SELECT Rate FROM Constants",
+])
+def test_what_cannot_be_filtered_is_refused(spark, text):
+    assert kind(spark, text, restricted=True, restrictions=RESTRICTED) == "unsupported"
+
+
+def test_every_read_is_filtered(spark):
+    e = small(spark, restricted=True, restrictions=RESTRICTED)
+    assert rows(e.query("SELECT G.Ref FROM Catalog.Goods AS G")) == [("b",), ("c",), ("e",), ("z",)]
+    assert rows(e.query("SELECT G.Ref, G.Parent.Description FROM Catalog.Goods AS G")) == [("b", None), ("c", "Box"), ("e", None), ("z", None)]
+    assert rows(e.query("SELECT N.Ref, N.Owner.Description, PRESENTATION(N.Owner) FROM Document.Notes AS N")) == [(1, None, ""), (2, None, ""), (3, None, None), (4, None, "")]
+    # A table's own condition does not take the rule's place.
+    assert rows(e.query('SELECT T.Item, T.QtyBalance FROM AccumulationRegister.Stock.Balance(, Qty > 0) AS T')) == [("y", 3)]
+    assert rows(e.query("SELECT N.Ref FROM Document.Notes AS N WHERE N.Owner IN (SELECT G.Ref FROM Catalog.Goods AS G UNION ALL SELECT F.Ref FROM Catalog.Firms AS F)")) == []
+    e.query("SELECT G.Ref AS R INTO Kept FROM Catalog.Goods AS G")
+    assert e.query("SELECT K.R FROM Kept AS K").count() == 4
+
+
+def test_temporary_tables_from_before_are_refused(spark):
+    e = small(spark)
+    e.query("SELECT G.Ref AS R INTO All FROM Catalog.Goods AS G".replace("All", "Whole"))
+    e.restricted, e.restrictions = True, RESTRICTED
+    with pytest.raises(QueryError) as found:
+        e.query("SELECT W.R FROM Whole AS W")
+    assert found.value.kind == "unsupported"
+
+
+def test_rules_with_joins(spark):
+    text = "SELECT G.Ref FROM Catalog.Goods AS G"
+    rule = lambda t, **how: rows(small(spark, restricted=True, restrictions={"Catalog.Goods": t}, **how).query(text))
+    assert rule('ТекущаяТаблица КАК T ВНУТРЕННЕЕ СОЕДИНЕНИЕ Справочник.Goods КАК P ПО T.Parent = P.Ref ГДЕ P.Description = "Root"') == [("b",), ("e",)]
+    # Several joined rows do not multiply a row.
+    assert rule("INNER JOIN Document.Notes AS N ON N.Text = N.Text WHERE TRUE") == [("a",), ("b",), ("c",), ("e",), ("z",)]
+    assert rule("LEFT JOIN Catalog.Goods AS F ON F.Parent = ТекущаяТаблица.Ref WHERE F.Ref IS NULL") == [("c",), ("e",), ("z",)]
+    assert rule("LEFT JOIN Catalog.Goods AS C ON C.Parent = Goods.Ref LEFT JOIN Catalog.Goods AS D ON D.Parent = C.Ref WHERE NOT D.Ref IS NULL") == [("a",)]
+    assert rule('INNER JOIN Catalog.Goods AS F ON F.Ref = Goods.Parent WHERE Goods.Parent.Description = &D AND F.Parent.Description = "Root"', session={"D": "Box"}) == [("c",)]
+    assert rule("ГДЕ ИСТИНА = &Open", session={"Open": True}) == [("a",), ("b",), ("c",), ("e",), ("z",)]
+    assert rule("&Open = TRUE", session={"Open": False}) == []
+
+
+def test_rules_see_session_parameters_only(spark):
+    e = small(spark, restrictions={"Catalog.Goods": "&Open = TRUE"})
+    with pytest.raises(QueryError) as found:
+        e.query("SELECT ALLOWED G.Ref FROM Catalog.Goods AS G WHERE &Open = TRUE", {"Open": True})
+    assert found.value.kind == "parameter" and "session" in found.value.message
+
+
+@pytest.mark.parametrize("rule", ["RIGHT JOIN Catalog.Firms AS F ON F.Ref = Ref WHERE TRUE", "INNER JOIN (SELECT F.Ref FROM Catalog.Firms AS F) AS X ON TRUE WHERE TRUE", "INNER JOIN AccumulationRegister.Stock.Balance() AS B ON TRUE WHERE TRUE", "WHERE", "Ref = 1 Ref", "INNER JOIN Catalog.Firms AS F WHERE TRUE"])
+def test_rules_that_are_refused(spark, rule):
+    assert kind(spark, "SELECT G.Ref FROM Catalog.Goods AS G", restricted=True, restrictions={"Catalog.Goods": rule}) in ("restriction", "syntax")
+
+
+def test_checked_balances(spark):
+    text = "SELECT T.QtyBalance AS Q FROM AccumulationRegister.Stock.Balance() AS T"
+    checked = lambda rule, t=text, p=None: rows(small(spark, restricted=True, restrictions={"AccumulationRegister.Stock": rule}).checked_balance(t, p))
+    assert checked('Item = "y"') == [(3, False)]  # the balance of x is zero, so nothing is hidden
+    assert checked('Item = "x"') == [(None, True)]
+    assert checked(DENIED) == [(None, True)]
+    assert checked(None) == [(3, False)]
+    assert checked('Item = "y"', "SELECT T.Item AS I, T.QtyBalance AS Q FROM AccumulationRegister.Stock.Balance(, Item = &I) AS T", {"I": "x"}) == []
+    for bad in ("SELECT ALLOWED T.QtyBalance FROM AccumulationRegister.Stock.Balance() AS T", "SELECT T.QtyBalance FROM AccumulationRegister.Stock.Balance(DATETIME(2024,1,1)) AS T", "SELECT T.QtyBalance FROM AccumulationRegister.Stock.Balance(, Qty > 1) AS T", "SELECT SUM(T.QtyBalance) FROM AccumulationRegister.Stock.Balance() AS T"):
+        with pytest.raises(QueryError):
+            checked('Item = "y"', bad)
+    with pytest.raises(QueryError):
+        checked("Qty > 1")
+
+
+def test_a_cycle_ends_a_walk(spark):
+    goods = spark.createDataFrame([("a", "A", "c"), ("b", "B", "a"), ("c", "C", "b"), ("d", "D", "c"), ("s", "S", "s")], "id string, name string, parent string")
+    e = small(spark)
+    e.tables = lambda name: goods
+    assert rows(e.query('SELECT G.Ref FROM Catalog.Goods AS G WHERE G.Ref IN HIERARCHY ("b")')) == [("a",), ("b",), ("c",), ("d",)]
+    assert rows(e.query('SELECT G.Ref FROM Catalog.Goods AS G WHERE G.Ref IN HIERARCHY ("d", "s", "d")')) == [("d",), ("s",)]
+    got = [tuple(r) for r in e.query("SELECT G.Ref AS R, 1 AS N FROM Catalog.Goods AS G TOTALS SUM(N) BY R HIERARCHY").collect()]
+    assert {r for r in got if r[1] > 1} == {("a", 4), ("b", 4), ("c", 4)} and got.count(("d", 1)) == 2 and len(got) == 10
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_equality_reaches_the_scan(spark, sf):
+    e = engine(spark, sf)
+    one = plan(e.query('SELECT C.Ref FROM Catalog.Customers AS C WHERE C.Segment = "BUILDING "'))
+    assert "StringStartsWith(c_mktsegment,BUILDING)" in one
+    several = plan(e.query("SELECT C.Ref FROM Catalog.Customers AS C WHERE C.Segment IN (&S)", {"S": ["BUILDING", "MACHINERY"]}))
+    assert "Or(StringStartsWith(c_mktsegment,BUILDING),StringStartsWith(c_mktsegment,MACHINERY))" in several
+
+
+def test_not_in_does_not_force_a_broadcast(spark, sf):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(engine(spark, sf).query("SELECT C.Ref FROM Catalog.Customers AS C WHERE C.Nation NOT IN (SELECT S.Nation FROM Catalog.Suppliers AS S)"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "LeftAnti" in found and "BroadcastHashJoin" not in found and "BroadcastNestedLoopJoin" not in found
+
+
+def test_unknowns_in_not_in(spark):
+    e = small(spark)
+    assert rows(e.query("SELECT N.Ref FROM Document.Notes AS N WHERE N.Text NOT IN (SELECT G.Description FROM Catalog.Goods AS G)")) == [(1,), (2,), (3,)]
+    assert rows(e.query("SELECT N.Ref FROM Document.Notes AS N WHERE N.Text NOT IN (SELECT G.Description FROM Catalog.Goods AS G WHERE FALSE)")) == [(1,), (2,), (3,), (4,)]
+    assert rows(e.query("SELECT G.Ref FROM Catalog.Goods AS G WHERE G.Ref NOT IN (SELECT X.Parent FROM Catalog.Goods AS X)")) == []
+    assert rows(e.query("SELECT G.Ref FROM Catalog.Goods AS G WHERE NOT G.Ref IN (SELECT X.Parent FROM Catalog.Goods AS X WHERE X.Parent IS NOT NULL)")) == [("c",), ("e",), ("z",)]
+
+
+def test_totals_may_be_materialized(spark):
+    seen = []
+    e = small(spark, materialize=lambda df: seen.append(1) or df.cache())
+    got = [tuple(r) for r in e.query("SELECT M.Item AS I, M.Qty AS Q FROM AccumulationRegister.Stock AS M ORDER BY I TOTALS SUM(Q) BY I").collect()]
+    assert got[0] == ("x", 20) and got[4][0] == "y" and seen == [1]
+
+
+def test_service_tables_by_either_name(spark):
+    kinds = Object("ChartOfCalculationTypes", "Pay.Base", [Field("Ref", "id", "number"), Field("Type", "t", "string")], "base")
+    model = Model([Object("ChartOfCalculationTypes", "Pay", [Field("Ref", "id", "number")], "pay", sections={"BaseCalculationKinds": kinds})])
+    e = Engine(spark, model, lambda name: spark.createDataFrame([(1, "x")], "id int, t string"))
+    for name in ("БазовыеВидыРасчета", "BaseCalculationTypes", "BaseCalculationKinds"):
+        assert rows(e.query(f"SELECT B.Type FROM ChartOfCalculationTypes.Pay.{name} AS B")) == [("x",)]

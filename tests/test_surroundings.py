@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.access import Role, decisions, expand, hidden_fields
+from quern.access import Directory, Role, decisions, expand, hidden_fields
 from quern.cli import console
 from quern.lang.diag import QueryError
 from quern.sample_model import engine
@@ -80,3 +80,44 @@ def test_roles_add_up(spark, sf):
 def test_describe(spark, sf):
     found = engine(spark, sf).describe('SELECT C.Nation AS N, CASE WHEN C.Ref = 1 THEN "a" ELSE 2 END AS V FROM Catalog.Customers AS C')
     assert found[0] == {"label": "N", "kind": "ref", "targets": ["Catalog.Nations"], "columns": ["N"]} and found[1]["columns"][0] == "V_TYPE"
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "tables", "jdbc"])
+def test_readers(spark, tmp_path, kind):
+    """The same query over every kind of source, with filters in the scan."""
+    from quern.engine import Engine
+    from quern.model import Field, Model, Object
+    from quern.sources import readers
+
+    df = spark.createDataFrame([(i, f"n{i}", i * 1.5) for i in range(20)], "ID int, NAME string, X double")
+    if kind == "tables":
+        df.write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("quern_reader")
+        read = readers.tables(spark)
+    elif kind == "jdbc":
+        url = f"jdbc:derby:{tmp_path}/db;create=true"
+        df.write.option("createTableColumnTypes", "NAME VARCHAR(20)").jdbc(url, "QUERN_READER", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+        read = readers.jdbc(spark, url, {"quern_reader": ("ID", 0, 20, 3)}, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    else:
+        writer = df.write.option("header", True) if kind == "csv" else df.write
+        getattr(writer, kind)(str(tmp_path / f"quern_reader.{kind}"))
+        read = readers.csv(spark, str(tmp_path), {"quern_reader": "ID int, NAME string, X double"}) if kind == "csv" else getattr(readers, kind)(spark, str(tmp_path))
+    model = Model([Object("Catalog", "Things", [Field("Ref", "ID", "number"), Field("Description", "NAME", "string"), Field("X", "X", "number")], "quern_reader")])
+    found = Engine(spark, model, read).query('SELECT T.Ref AS R FROM Catalog.Things AS T WHERE T.X > 20 AND T.Description <> "n17"')
+    assert sorted(r.R for r in found.collect()) == [14, 15, 16, 18, 19]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(X,20.0)" in plan
+    if kind == "jdbc":
+        assert found.rdd.getNumPartitions() == 3
+    if kind == "tables":
+        spark.sql("DROP TABLE quern_reader")
+
+
+def test_console_of_users_and_roles(spark, sf):
+    roles = [Role("reader", {"Catalog.Regions": "#Few", "Catalog.Nations": True}, {"Few": "Ref < &Most"}), Role("other", {"Catalog.Parts": True})]
+    out = []
+    lines = ["\\users", "\\user ann", "\\roles read", "\\role reader", "\\role reader Catalog.Regions", "\\template reader Few", "\\as", "\\as ann", "\\rls", "\\rls Catalog.Regions", "SELECT R.Ref AS R FROM Catalog.Regions AS R", "", "SELECT P.Ref FROM Catalog.Parts AS P", "", "\\as nobody", "\\role x", "\\as clear", "SELECT COUNT(*) AS N FROM Catalog.Regions AS R", ""]
+    console(engine(spark, sf, session={"Most": 2}), lines, out.append, Directory({"ann": ["reader"], "bob": ["reader", "other"]}, roles))
+    assert out[:3] == ["ann\treader\nbob\treader, other", "ann: reader", "reader"]
+    assert out[3] == "Catalog.Nations\tall rows\nCatalog.Regions\t#Few" and out[4] == "Catalog.Regions\t#Few" and out[5] == "Ref < &Most" and out[6] == "no current user" and out[7] == "current user: ann (reader)"
+    assert "Catalog.Regions\t(Ref < &Most)" in out[8] and out[9] == "(Ref < &Most)"
+    assert out[10:13] == ["R", "0", "1"] and out[13] == "Ref" and out[14] == "no user nobody" and out[15] == "no role x" and out[16] == "current user cleared" and out[17:] == ["N", "5"]
