@@ -56,6 +56,8 @@ class Engine:
         self._used: set[str] = set()
         self._allowed = False
         self._in_rule = False
+        self._opened: dict[str, DataFrame] = {}
+        self._frames: dict[tuple, DataFrame] = {}
         self._binary: dict[str, bool] = {}  # objects whose references are bytes
         self._unfiltered: set[str] = set()  # temporary tables made while the engine was not restricted
 
@@ -154,19 +156,34 @@ class Engine:
     def ext_dimension_kinds(self, obj: Object) -> list:
         return self.ext_kinds.get(obj.full_name, list(range(1, obj.ext_dimensions + 1)))
 
+    def table(self, name: str) -> DataFrame:
+        """A table, opened once: opening reads footers and lists files, which costs more than lowering a statement."""
+        if name not in self._opened:
+            self._opened[name] = self.tables(name)
+        return self._opened[name]
+
+    def refresh(self) -> None:
+        """Open the tables anew, to see files that were added since."""
+        self._opened.clear()
+        self._frames.clear()
+
     def frame(self, obj: Object) -> DataFrame:
         """The object's rows with the model's names; column pruning reaches the scan."""
-        base = obj.table(self.tables) if callable(obj.table) else self.tables(obj.table)
-        for more in obj.extensions:
-            base = base.unionByName(self.tables(more), allowMissingColumns=True)
-        for separator, name in obj.separators.items():
+        for separator in obj.separators:
             if separator not in self.separators:
                 raise QueryError("separator", f"{separator} has no value")
-            base = base.where(F.expr(obj.find(name).sql) == F.lit(self.separators[separator]))
-        return base.select(*[F.expr(f.sql).alias(f.name) for f in obj.fields])
+        key = (obj.full_name, repr([self.separators[s] for s in obj.separators]))
+        if key not in self._frames:
+            base = obj.table(self.table) if callable(obj.table) else self.table(obj.table)
+            for more in obj.extensions:
+                base = base.unionByName(self.table(more), allowMissingColumns=True)
+            for separator, name in obj.separators.items():
+                base = base.where(F.expr(obj.find(name).sql) == F.lit(self.separators[separator]))
+            self._frames[key] = base.select(*[F.expr(f.sql).alias(f.name) for f in obj.fields])
+        return self._frames[key]
 
     def relation(self, obj: Object, alias: str) -> tuple[DataFrame, Src]:
-        df, src = bind(self.frame(obj), alias, [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj)
+        df, src = bind(self.frame(obj), alias, [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj, exact=True)
         if self._in_rule:
             return df, src
         full = obj.full_name
@@ -275,7 +292,7 @@ class Engine:
             out = out.unionAll(parts[k][0].select(*aligned[k]))
             if not every:
                 out = out.distinct()
-        named, src = bind(out.select(*[F.col(b.column).alias(b.name) for b in bounds]), "", [(b.name, (), b.kind, b.targets) for b in bounds])
+        named, src = bind(out, "", [(b.name, (), b.kind, b.targets) for b in bounds], exact=True)
         if top and q.order:
             keys = []
             for e, down in q.order:
@@ -321,7 +338,7 @@ class Engine:
             df, columns = self._query(x.query, None, top=False)
             if x.query.totals:
                 raise QueryError("unsupported", "totals in a nested query")
-            df, src = bind(df.select(*[F.col(c.column).alias(c.name) for c in columns]), x.alias, [(c.name, (), c.kind, c.targets) for c in columns])
+            df, src = bind(df, x.alias, [(c.name, (), c.kind, c.targets) for c in columns], exact=True)
             return df, src
         if x.param is not None:
             return self._value_table(x)
@@ -335,7 +352,7 @@ class Engine:
             if parts[0].lower() in self._unfiltered:
                 self.refuse("a temporary table that was made without them")
             df, columns = found
-            return bind(df.select(*[F.col(c.column).alias(c.name) for c in columns]), x.alias or parts[0], [(c.name, (), c.kind, c.targets) for c in columns])
+            return bind(df, x.alias or parts[0], [(c.name, (), c.kind, c.targets) for c in columns], exact=True)
         obj = self.model.find(parts[0], parts[1]) if len(parts) > 1 else None
         if obj is None:
             raise QueryError("unknown_object", ".".join(parts))
@@ -534,14 +551,15 @@ class Engine:
             df = df.select(*shown).distinct()
             df = df.orderBy(*positions) if positions else df
         elif ordering:
-            hidden = [F.lit(None)] * 0
-            df = df.select(*shown, *[self._sortable(lower(e)).alias(f"o{i}") for i, (e, _) in enumerate(keys)], *hidden)
+            df = df.select(*shown, *[self._sortable(lower(e)).alias(f"o{i}") for i, (e, _) in enumerate(keys)])
             df = df.orderBy(*[self._direction(F.col(f"o{i}"), down) for i, (_, down) in enumerate(keys)])
         else:
             df = df.select(*shown)
         if s.top is not None:
             df = df.limit(s.top)
-        out, src = bind(df.select(*[F.col(f"c{i}").alias(label) for i, label in enumerate(labels)]), "", [(label, (), v.kind, v.targets) for label, v in bounds])
+        if ordering and not s.distinct:
+            df = df.select(*[f"c{i}" for i in range(len(vals))])
+        out, src = bind(df, "", [(label, (), v.kind, v.targets) for label, v in bounds], exact=True)
         return out, src.order
 
     @staticmethod
@@ -706,7 +724,7 @@ class Engine:
     # -- settings ----------------------------------------------------------------------------
     def setting(self, table: str, user: str, obj: str, key: str) -> DataFrame:
         """The stored value of one setting; two rows tell a caller that it is ambiguous. All three keys compare exactly."""
-        df = self.tables(table)
+        df = self.table(table)
         same = (F.col("userid") == user) & (F.col("objectkey") == obj) & (F.col("settingskey") == key)
         return df.where(same).select("settingsdata").limit(2)
 

@@ -55,7 +55,7 @@ def _through_keys(engine, df: DataFrame, src: Src, names: tuple[str, ...], rule:
     from quern.plans.expressions import Lower
 
     obj = src.obj
-    copy, own = bind(engine.frame(obj), obj.full_name.split(".")[1], [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj)
+    copy, own = bind(engine.frame(obj), obj.full_name.split(".")[1], [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj, exact=True)
     own.also = names
     scope = Scope(engine, copy, [own])
     for j, (right, r) in zip(rule.joins, joined):

@@ -55,15 +55,18 @@ class Src:
         return self.fields.get(name.lower())
 
 
-def bind(df: DataFrame, alias: str, columns: list[tuple[str, tuple[str, ...], str, tuple[str, ...]]], obj=None) -> tuple[DataFrame, Src]:
-    """Give the frame's columns names that nothing else has. columns: (name, further names, kind, targets)."""
+def bind(df: DataFrame, alias: str, columns: list[tuple[str, tuple[str, ...], str, tuple[str, ...]]], obj=None, exact: bool = False) -> tuple[DataFrame, Src]:
+    """Give the frame's columns names that nothing else has. columns: (name, further names, kind, targets).
+
+    exact: the frame has just these columns in this order, which saves a call for each.
+    """
     n = next(_numbers)
     order = [Bound(name, f"s{n}_{i}", kind, targets) for i, (name, _, kind, targets) in enumerate(columns)]
     fields = {}
     for b, (name, more, _, _) in zip(order, columns):
         for x in (name, *more):
             fields.setdefault(x.lower(), b)
-    df = df.select(*[F.col(f"`{name}`").alias(b.column) for b, (name, *_) in zip(order, columns)])
+    df = df.toDF(*[b.column for b in order]) if exact else df.select(*[F.col(f"`{name}`").alias(b.column) for b, (name, *_) in zip(order, columns)])
     return df, Src(alias, fields, order, obj)
 
 
