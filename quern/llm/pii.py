@@ -105,6 +105,9 @@ _SPOKEN_DOT = re.compile(r" (?:dot|punkt|punto|point) ", re.I)
 _CUE = re.compile(r"(?:mail|contact|kontakt|write|schreib|reach|courriel|correo|escrib|address|adresse|[<(\[:\"'=])\W*(?:\w+\W+){0,2}$", re.I)
 _ENTITIES = ("&#64;", "&commat;", "&#46;", "%40", " @", "@ ")
 _MARKED = re.compile(rf"[\[({{<] ?(?:{_AT}|{_DOT}) ?[\])}}>]|[_-](?:at|dot)[_-]", re.I)  # in all that _BRACKETED matches
+_SEPARATE = bytes(b if chr(b).isalnum() or chr(b) == "_" else 32 for b in range(128)) + bytes([32] * 128)
+_RUNS_OF_LETTERS = re.compile(r"\w+")
+_PLAIN_DIGITS, _ALL_DIGITS = frozenset(w.encode() for w in _DIGITS if w.isascii()), frozenset(_DIGITS)
 _RUN = re.compile(rf"(?<!\w){_ONE}[ ,.-]{{1,2}}(?:{_ONE}|[0-9])", re.I)
 
 
@@ -201,7 +204,9 @@ def disguised(text: str) -> bool:
         return True
     if (" at " in low or " aro" in low or " arr" in low) and any(_spoken(m) != m[0] for m in _SPOKEN.finditer(text)):
         return True
-    return _RUN.search(text) is not None
+    # Most texts have no digit word at all, which is quicker seen than the lack of a run.
+    some = not (_PLAIN_DIGITS.isdisjoint(low.encode().translate(_SEPARATE).split()) if text.isascii() else _ALL_DIGITS.isdisjoint(_RUNS_OF_LETTERS.findall(low)))
+    return some and _RUN.search(text) is not None
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:

@@ -81,8 +81,51 @@ def test_licence_scores_against_brute_force(spark):
     body = "This file is licensed under the Apache License, Version 2.0."
     v = vec(re.findall(licenses.TERM, body.lower()))
     best = max(sum(v.get(t, 0) * w for t, w in u.items()) / norm(u) / norm(v) for u in map(vec, bags))
-    units = spark.createDataFrame([(1, 0, body)], "_rid long, unit int, body string")
-    assert abs(licenses.best_licence(units).first().score - best) < 1e-6
+    units = spark.createDataFrame([(1, (-1, 0, 9), re.findall(licenses.TERM, body.lower()))], "_rid long, unit struct<k: int, start: int, n: int>, terms array<string>")
+    assert abs(licenses.best_licence(units, licenses.Vectors()).first().score - best) < 1e-6
+
+
+def test_every_window_over_the_threshold_is_found(spark):
+    """Against all windows of all templates' lengths at all places, without anchors or bounds."""
+    import random
+    from collections import Counter
+
+    v, rng = licenses.Vectors(), random.Random(7)
+    words = sorted(v.idf)
+    texts = []
+    for n in range(60):
+        bag = list(rng.choice(v.bags))
+        for _ in range(rng.randint(0, len(bag) // 2)):  # words changed, dropped and put in
+            i = rng.randrange(len(bag))
+            bag[i : i + rng.randint(0, 1)] = rng.choice([[], [rng.choice(words)], ["other"], [bag[i]]])
+        texts.append(" ".join(rng.choices(["so", "the", "apple", "use", "version"], k=12) + bag + rng.choices(["any", "pear", "of", "free"], k=12)))
+    docs = spark.createDataFrame([(i, "x.c", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.score) for r in licenses.scan(docs).collect()}
+    anchors = v.anchors()
+    for k, w in enumerate(v.weights):
+        left = w.keys() - {t for t, own, _ in anchors if own == k}
+        assert left <= licenses.COMMON or sum(w[t] ** 2 for t in left) < licenses.THRESHOLD**2
+    found = 0
+    for i, t in enumerate(texts):
+        own, best = t.split(), (0, "")
+        for k, (bag, w) in enumerate(zip(v.bags, v.weights)):
+            starts = {j - o for j, x in enumerate(own) for y, kk, o in anchors if kk == k and y == x}
+            for start in starts:
+                window = Counter(own[max(start, 0) : start + len(bag)])
+                norm = math.sqrt(sum((n * v.idf.get(x, v.rare)) ** 2 for x, n in window.items()))
+                score = round(min(sum(n * v.idf[x] * w[x] for x, n in window.items() if x in w) / norm, 1.0), 6)
+                best = min(best, (-score, v.names[k]))
+        want = (best[1], -best[0]) if -best[0] >= licenses.THRESHOLD else (None, None)
+        found += want[0] is not None
+        assert got[i] == want or abs(got[i][1] - want[1]) < 2e-6
+    assert 20 < found
+
+
+def test_licence_documents_pass_their_licence_on(spark):
+    rows = [(1, "s", "en", "Released under the MIT License."), (2, "s", "en", "nothing said"), (3, "s", "de", "nichts gesagt"), (4, "t", None, "This work is licensed under the GNU General Public License, version 3. " + "and much more is said " * 9), (5, "t", None, None)]
+    docs = spark.createDataFrame([(i, src, lang, text, 1) for i, src, lang, text in rows], "doc_id long, source string, lang string, text string, dir int")
+    got = sorted((r.doc_id, r.licence, r.origin, r.origin_dir) for r in licenses.scan_documents(docs).collect())
+    assert got == [(1, "MIT", "file", None), (2, "MIT", "inherited", "s/en"), (3, None, "none", None), (4, "GPL-3.0", "header", None), (5, None, "none", None)]
 
 
 def test_vectors(spark, sf):
