@@ -8,8 +8,10 @@ buckets. Each step keeps the volume linear in the rows:
 2. Inside a bucket (in blocks, if it is large) signatures are compared; pairs whose estimate lies
    less than five standard deviations under the threshold are connected, and a spanning forest is
    all that leaves the task. Its components are the candidate groups.
-3. The full sets of each candidate group meet in blocks, which verify the exact Jaccard similarity
-   of all pairs and again emit a spanning forest, so no link between groups is lost.
+3. The full sets of each candidate group first meet the group's head, in chunks; members that link
+   to it need not be compared with each other. Those that do not meet each other and the linked
+   ones in blocks bounded by rows and bytes, which verify the exact Jaccard similarity of all pairs
+   and again emit a spanning forest, so no link between groups is lost.
 4. Components of the verified links are the result.
 
 The one probabilistic step is banding with the signature screen: with the default parameters a
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, own_name, small_batches, with_rid, written
@@ -38,6 +40,7 @@ from quern.llm.words import WordHashes, mix, shingles
 ROWS = 4  # coordinates of a band
 BUCKET_BLOCK = 1024
 SET_BLOCK = 256
+SET_BYTES = 16 << 20  # of the sets of a block, on average
 BROADCAST_ROWS = 500_000
 
 
@@ -100,14 +103,19 @@ def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
         yield pd.concat(held)
 
 
-def in_blocks(rows: DataFrame, key: str, count: str, node: str, block: int, columns: list[str]) -> DataFrame:
-    """Deal the members of every group to all pairs of its blocks, sorted by (key, i, j) within partitions."""
-    blocks = F.ceil(F.col(count) / F.lit(block)).cast("int")
+def spread_by(rows: DataFrame, *keys: str, then: str | None = None) -> DataFrame:
+    """Deal groups to tasks by their keys, sorted within, by one more column if given. The number of tasks is set, as Spark would merge them by
+    bytes, and their work grows with the square of a group."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *([then] if then else []))
+
+
+def in_blocks(rows: DataFrame, key: str, blocks: Column, node: str, columns: list[str]) -> DataFrame:
+    """Deal the members of every group to all pairs of its blocks, sorted by (key, _i, _j) within partitions."""
     own = F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own)
+    dealt = rows.withColumn("_blocks", blocks.cast("int")).withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select(key, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), *columns)
-    return dealt.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
+    return spread_by(dealt.select(key, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), *columns), key, "_i", "_j")
 
 
 def fingerprints(docs: DataFrame, size: int, k: int, rid: str | None = None) -> DataFrame:
@@ -152,7 +160,7 @@ def _bucket_edges(rows: DataFrame, least: float) -> DataFrame:
             if edges := forest(linked, ids):
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return in_blocks(rows, "key", "m", "node", BUCKET_BLOCK, ["node", "sig"]).mapInPandas(screen, "a long, b long")
+    return in_blocks(rows, "key", F.ceil(F.col("m") / F.lit(BUCKET_BLOCK)), "node", ["node", "sig"]).mapInPandas(screen, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,20 +186,71 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _like(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _blocks_of(rows: DataFrame, key: str) -> DataFrame:
+    """key, _blocks: how many blocks the rows of a group make, by their number and their bytes."""
+    size = rows.groupBy(key).agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("s"))
+    return size.select(key, F.ceil(F.greatest(F.col("c") / F.lit(SET_BLOCK), F.col("s") / F.lit(SET_BYTES))).cast("int").alias("_blocks"))
+
+
 def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets: cluster, node, m, shingles. Spanning forests of the pairs with den * intersection >= num * union."""
+    """sets: cluster (its least node), node, shingles. Edges that connect whatever is connected by pairs with
+    den * intersection >= num * union."""
+    sets = written(sets.dropDuplicates(["cluster", "node"]))
+    # Every member against the head; a large group in several chunks, each with a copy of the head.
+    dealt = sets.join(_blocks_of(sets, "cluster"), "cluster")
+    own = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")))
+    dealt = dealt.select("cluster", F.explode(own).alias("_i"), (F.col("node") != F.col("cluster")).alias("_member"), "node", "shingles")
+
+    def against_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, head = None, None
+        for pdf in batches:
+            out = []
+            for cluster, chunk, member, node, packed in pdf[["cluster", "_i", "_member", "node", "shingles"]].itertuples(index=False):
+                found = np.frombuffer(packed, np.uint64)
+                if not member:
+                    last, head = (cluster, chunk), found
+                elif last == (cluster, chunk):
+                    out.append((cluster, node, _like(head, found, num, den)))
+                else:  # no head came: its text is gone from the table
+                    out.append((cluster, node, False))
+            if out:
+                yield pd.DataFrame(out, columns=["cluster", "node", "linked"])
+
+    met = cut(spread_by(dealt, "cluster", "_i", then="_member").mapInPandas(against_head, "cluster long, node long, linked boolean"))
+    edges = met.where("linked").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
+    apart = met.where("not linked").select("cluster", "node")
+    if apart.isEmpty():
+        return edges
+    # The others among themselves, and with all that the head has.
+    lone = sets.join(apart, ["cluster", "node"], "left_semi")
+    linked = sets.join(apart.select("cluster").distinct(), "cluster", "left_semi").join(apart, ["cluster", "node"], "left_anti").where(F.col("node") != F.col("cluster"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(batches, ["cluster", "_i", "_j"]):
             group = group.drop_duplicates("node")
-            ids = group["node"].to_numpy()
+            ids, lone = group["node"].to_numpy(), group["_lone"].to_numpy()
             found = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
             size = np.array([len(x) for x in found])
             both = overlaps(found)
-            if edges := forest(den * both >= num * (size[:, None] + size[None, :] - both), ids):
+            like = den * both >= num * (size[:, None] + size[None, :] - both)
+            like |= ~lone[:, None] & ~lone[None, :]  # they are connected by the head
+            if edges := forest(like, ids):
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return in_blocks(sets, "cluster", "m", "node", SET_BLOCK, ["node", "shingles"]).mapInPandas(verify, "a long, b long")
+    a = lone.join(_blocks_of(lone, "cluster").withColumnRenamed("_blocks", "_n"), "cluster")
+    among = in_blocks(a, "cluster", F.col("_n"), "node", ["node", "shingles"]).withColumn("_lone", F.lit(True))
+    n_lone, n_linked = (_blocks_of(x, "cluster").withColumnRenamed("_blocks", c) for x, c in ((lone, "_l"), (linked, "_r")))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = lone.join(n_lone, "cluster").join(n_linked, "cluster").select("cluster", block("_l").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("_j"), "node", "shingles", F.lit(True).alias("_lone"))
+    right = linked.join(n_lone, "cluster").join(n_linked, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_i"), block("_r").alias("_j"), "node", "shingles", F.lit(False).alias("_lone"))
+    across = spread_by(left.unionByName(right), "cluster", "_i", "_j")
+    schema = "a long, b long"
+    return edges.unionAll(among.mapInPandas(verify, schema)).unionAll(across.mapInPandas(verify, schema))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -245,7 +304,7 @@ def grouped(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands
     clusters = likely.join(sizes, "component").select("node", F.col("component").alias("cluster"), "m")
     # 3. The exact check on full sets.
     wanted = cut(clusters.join(classes, "node"))
-    groups = components(_verified(_sets_of(docs, wanted, size), num, den))
+    groups = components(cut(_verified(_sets_of(docs, wanted, size).select("cluster", "node", "shingles"), num, den)))
     # 4. The smallest doc_id of each component, for all rows of all its classes.
     found = classes.join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least", "node")
     head = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node").alias("rid")))

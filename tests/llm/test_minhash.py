@@ -44,6 +44,44 @@ def test_whole_table(spark, sf, how):
     assert got == brute(docs.collect(), how.get("size", 5), how.get("num", 80), 100)
 
 
+def test_members_apart_from_their_head(spark, monkeypatch):
+    """A candidate group in which few link to the head: chains, and pairs of their own, in several blocks."""
+    monkeypatch.setattr(minhash, "SET_BLOCK", 4)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for k in range(30):  # every text shares most with the next, less with the one after
+        texts[k] = " ".join(words[k * 2 : k * 2 + 60])
+    for k in range(30):
+        texts[100 + k] = texts[k] + " end"
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, size=3, num=85, den=100, bands=18).collect()), key=repr)
+    assert got == brute(docs.collect(), 3, 85, 100)
+    rows = docs.collect()
+    hashes = WordHashes()
+    with np.errstate(over="ignore"):
+        sets = [(0, r.doc_id, bytearray(shingles(r.text, 3, hashes).tobytes())) for r in rows]
+    edges = minhash._verified(spark.createDataFrame(sets, "cluster long, node long, shingles binary"), 95, 100)
+    parent = {i: i for _, i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in edges.collect():
+        parent[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    assert sorted((r.doc_id, find(r.doc_id)) for r in rows) == sorted((i, c) for i, _, c in brute(rows, 3, 95, 100))
+
+
+def test_a_hub_of_many_neighbours(spark, monkeypatch):
+    from quern.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", 10)
+    edges = [(0, i) for i in range(1, 200)] + [(i, 1000 + i) for i in range(1, 200)] + [(1500, 1501), (1501, 1502), (7, 7), (None, 3)]
+    got = {r.node: r.component for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(200)}, **{1000 + i: 0 for i in range(1, 200)}, 1500: 1500, 1501: 1500, 1502: 1500}
+
+
 def test_edges(spark):
     docs = documents(spark)
     got = minhash.near_duplicates(docs, size=3, num=85, den=100, bands=18).collect()

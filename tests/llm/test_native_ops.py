@@ -135,9 +135,31 @@ def test_vectors(spark, sf):
 def test_vectors_in_many_cells_and_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", 60)
     monkeypatch.setattr(embeddings, "BLOCK", 50)
+    monkeypatch.setattr(embeddings, "RING", 16)
     check(embeddings.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")), embeddings.OP8_SQL, sf)
 
 
+def test_clustered_vectors_move_little(spark):
+    """Clusters that keep apart: a vector goes to a few cells, where blocks of all rows would copy it to hundreds."""
+    import numpy as np
+
+    copies = {}
+    for n in (6000, 24_000):
+        rng = np.random.default_rng(3)
+        centres = rng.normal(size=(n // 100, 16))
+        x = embeddings.units(np.repeat(centres, 100, axis=0) + 0.02 * rng.normal(size=(n, 16)))
+        order = rng.permutation(n)
+        most = max(math.isqrt(n), 1)
+        pivots = embeddings.pivots_for(n * 100, x[order[:most]], x[order[most : most + 2048]], math.acos(0.9))
+        a = np.arccos(np.clip(x @ pivots.T, -1, 1))
+        cell = a.argmin(axis=1)
+        radius = np.full(len(pivots), -np.inf)
+        np.maximum.at(radius, cell, a[np.arange(n), cell])
+        copies[n] = 1 + embeddings.reached(a, cell, radius, math.acos(0.9)).sum() / n
+        assert len(pivots) > 30
+    assert copies[6000] < 4 and copies[24_000] < 10 < 24_000 * 100 / embeddings.BLOCK / 20
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [0.0, 1.0, 0.0]), (None, [1.0, 0.1]), (9, [1.0, None]), (10, [-0.0, 0.0]), (11, [float("inf"), 1.0]), (12, []), (13, [1e200, 1e190]), (13, [1e200, 1e190])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vec", F.lit(1)).withColumn("n", F.lit(1))

@@ -27,6 +27,30 @@ def test_same_ids_as_the_library(library, text):
     assert c.decode(got) == library.decode(want, skip_special_tokens=False) == text
 
 
+def test_texts_join_at_any_cut(library):
+    """Words, contractions, runs of white space, special tokens and other scripts around the join."""
+    import random
+
+    c, rng = bpe.codec(bpe.vocabulary()), random.Random(4)
+    bits = ["it's", "don't", "  ", "\n\n", " \n ", "\t", "12345", "99.9", "word", "Über", "naïve", "日本", "🙂", "<|endoftext|>", "x" * 30, "!!!", "...", " a", ",b", "\u00a0", "\u2003", "'", "_", "-"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n", ". "]) for _ in range(rng.randint(2, 60)))
+        cut = rng.randint(1, len(text) - 1)
+        a, b = text[:cut], text[cut:]
+        want = library.encode(text, add_special_tokens=False).ids
+        assert c.join_texts(a, b, c._run(a), c._run(b)).tolist() == want, (a, b)
+
+
+def test_the_tree_runs_over_the_table(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF", 200)
+    c = bpe.codec(bpe.vocabulary())
+    joins = c.joins
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert c.encode(r.text).tolist() == c.library.encode(r.text, add_special_tokens=False).ids
+    assert c.joins - joins > 1000
+    assert any(len(r.text) > bpe.LEAF for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+
+
 def test_join_agrees_at_any_cut(library):
     c, text = bpe.codec(bpe.vocabulary()), "internationalisationofunbreakablehippopotamusses" * 4
     want = library.encode(text, add_special_tokens=False).ids
@@ -36,7 +60,7 @@ def test_join_agrees_at_any_cut(library):
 
 
 def test_round_trip_of_tables(spark, sf, library):
-    more = spark.createDataFrame([(100, "z" * 200_000), (101, "qwertyuiop" * 20_000), (102, "é" * 100_000 + " x")], "doc_id long, text string")
+    more = spark.createDataFrame([(100, "z" * 200_000), (101, "qwertyuiop" * 20_000), (102, "é" * 100_000 + " x"), (103, "so it goes, doesn't it?  \n" * 9000), (104, "日本 a" * 20_000), (105, "word <|endoftext|>" * 8000 + "z" * 9000 + " end." * 9000)], "doc_id long, text string")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionAll(documents(spark).select("doc_id", "text")).unionAll(more)
     got = sorted((tuple(r) for r in bpe.round_trip(docs).collect()), key=repr)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
