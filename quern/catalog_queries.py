@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.access import Role, decisions
 from quern.engine import DENIED, Engine, ValueTable
 from quern.model import Field, Model, Object
 from quern.plans.virtual import Boundary, PointInTime
@@ -209,6 +210,61 @@ def _catalog(text: str, **how):
     return run
 
 
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored setting; all keys compare exactly."""
+    e = engine(spark, sf_dir)
+    e.tables = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col("c_mktsegment").alias("userid"), F.col("c_nationkey").cast("string").alias("objectkey"), F.col("c_name").alias("settingskey"), F.col("c_custkey").alias("settingsdata"))
+    return e.setting("customer", "BUILDING", "7", "Customer#000000001").unionAll(e.setting("customer", "building", "7", "x")).agg(F.count("*").alias("n"))
+
+
+def _service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of registered changes, by its Russian name."""
+    changes = Object("Catalog", "Nations.Changes", [Field("Ref", "n_nationkey", "ref", (), ("Catalog.Nations",)), Field("Node", "n_regionkey", "number", ("Узел",))], "nation")
+    nations = Object("Catalog", "Nations", [Field("Ref", "n_nationkey", "ref", (), ("Catalog.Nations",)), Field("Description", "n_name", "string")], "nation", sections={"Changes": changes})
+    e = Engine(spark, Model([nations]), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return e.query("SELECT C.Узел AS N, MIN(C.Ref.Description) AS D, COUNT(*) AS C FROM Catalog.Nations.Изменения AS C GROUP BY C.Узел")
+
+
+def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporary tables that are computed once, when they are made."""
+    return engine(spark, sf_dir, materialize=lambda df: df.persist()).query("SELECT D.Customer AS C, COUNT(*) AS N INTO Counts FROM Document.Orders AS D GROUP BY D.Customer; SELECT A.N AS N, COUNT(*) AS K FROM Counts AS A INNER JOIN Counts AS B ON A.C = B.C GROUP BY A.N")
+
+
+def _values(spark: SparkSession, rows: list, names: str) -> DataFrame:
+    return spark.createDataFrame([tuple(map(str, r)) for r in rows], ", ".join(f"{n} string" for n in names.split()))
+
+
+_MIXED = "SELECT D.Ref AS R, CASE WHEN D.Ref = &P THEN D.Customer ELSE \"x\" END AS V FROM Document.Orders AS D WHERE D.Customer.Nation = &N ORDER BY D.Date; SELECT T.A FROM T AS T"
+
+
+def _discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a text mentions, without lowering it."""
+    found = engine(spark, sf_dir).prepare(_MIXED)
+    return _values(spark, [(what, name) for what, names in found.items() for name in names], "what name")
+
+
+def _field_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which clauses read a field."""
+    found = engine(spark, sf_dir).field_usage(_MIXED)
+    return _values(spark, [(f, role) for f, roles in found.items() for role in roles], "field role")
+
+
+def _recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns make up each logical value."""
+    found = engine(spark, sf_dir).describe(_MIXED.split(";")[0], {"P": 1, "N": 2})
+    return _values(spark, [(x["label"], x["kind"], ",".join(x["targets"]), ",".join(x["columns"])) for x in found], "label kind targets columns")
+
+
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restriction templates expanded, and the rules of several roles added up; then the rows that they leave."""
+    own = Role("own", {"Catalog.Customers": "#Если &Всё = ИСТИНА #Тогда ИСТИНА #Иначе #Свои(Nation, \"&Моя\") #КонецЕсли", "Catalog.Nations": True}, {"Свои": "#Параметр(1) = #Параметр(2)"})
+    rich = Role("rich", {"Catalog.Customers": "Balance > 9000"})
+    session = {"Всё": False, "Моя": 3}
+    rules = decisions([own, rich], ["Catalog.Customers", "Catalog.Nations", "Catalog.Parts"], session)
+    e = engine(spark, sf_dir, restricted=True, restrictions=rules, session=session)
+    return e.query("SELECT C.Ref AS Ref FROM Catalog.Customers AS C WHERE NOT C.Ref IN (SELECT P.Ref FROM Catalog.Parts AS P)")
+
+
 _SEEN = f"SELECT c_mktsegment AS Segment, sum({_B}) AS B, FALSE AS Forbidden FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1"
 #: name -> (function, DuckDB SQL): what is more than one text over the sample model.
 MORE: dict[str, tuple] = {
@@ -216,6 +272,13 @@ MORE: dict[str, tuple] = {
     "uuid_byte_order": (_uuids, f"SELECT n_name AS N, (SELECT {_H} FROM (SELECT md5(n_name) AS h)) AS U, (SELECT {_H} FROM (SELECT md5(CAST(n_regionkey AS VARCHAR)) AS h)) AS A FROM nation"),
     "checked_balance_allowed": (_checked("Segment = &Mine"), _SEEN),
     "checked_balance_forbidden": (_checked('Segment = "MACHINERY"'), "SELECT CAST(NULL AS VARCHAR) AS Segment, CAST(NULL AS DECIMAL(38,2)) AS B, TRUE AS Forbidden"),
+    "stored_setting": (_settings, "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7 AND c_name = 'Customer#000000001'"),
+    "service_table": (_service, "SELECT n_regionkey AS N, min(n_name) AS D, count(*) AS C FROM nation GROUP BY 1"),
+    "materialized_batch": (_materialized, "SELECT n AS N, count(*) AS K FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1"),
+    "discovery": (_discovery, "SELECT * FROM (VALUES ('parameters', 'N'), ('parameters', 'P'), ('objects', 'Document.Orders'), ('temporary_tables', 'T'), ('fields', 'D.Customer'), ('fields', 'D.Customer.Nation'), ('fields', 'D.Date'), ('fields', 'D.Ref'), ('fields', 'T.A')) t(what, name)"),
+    "field_usage": (_field_usage, "SELECT * FROM (VALUES ('D.Ref', 'projection'), ('D.Customer', 'projection'), ('D.Customer.Nation', 'condition'), ('D.Date', 'ordering'), ('T.A', 'projection')) t(field, role)"),
+    "projection_recipe": (_recipe, "SELECT * FROM (VALUES ('R', 'ref', 'Document.Orders', 'R'), ('V', 'composite', '', 'V_TYPE,V_S,V_N,V_T,V_L,V_RTRef,V_RRRef')) t(label, kind, targets, columns)"),
+    "rules_of_roles": (_templates, f"SELECT c_custkey AS Ref FROM customer WHERE c_nationkey = 3 OR {_B} > 9000"),
     "catalog_columns": (_catalog("SELECT c.column_name, c.ordinal_position AS at, c.data_type FROM information_schema.columns c WHERE c.table_name = 'Catalog.Nations' AND c.data_type = ANY (ARRAY['bytea', 'text']) ORDER BY 2 LIMIT 10"), "SELECT * FROM (VALUES ('Ref', 1, 'bytea'), ('Description', 2, 'text'), ('Region', 3, 'bytea')) t(column_name, \"at\", data_type)"),
     "catalog_joins_and_aggregates": (
         _catalog("WITH named AS (SELECT c.oid, c.relname, n.nspname FROM pg_catalog.pg_class c LEFT JOIN pg_catalog.pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'v') AND n.nspname !~ '^pg_' AND pg_catalog.pg_table_is_visible(c.oid)) SELECT named.relname, count(*) AS n, max(a.attnum) AS last, string_agg(a.attname, ',') WITHIN GROUP (ORDER BY a.attnum) AS names FROM named JOIN pg_attribute a ON a.attrelid = named.oid WHERE named.relname OPERATOR(pg_catalog.~) '^Catalog[.](Nations|Regions)$' AND NOT a.attisdropped GROUP BY named.relname HAVING count(*) > 1"),
