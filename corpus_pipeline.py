@@ -1,6 +1,11 @@
 """A corpus pipeline: language ID, exact dedup, near-dedup, redaction of personal data, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, extra ones included.
+
+Edge cases: rows with a null, empty or letterless text go in the first stage, as do texts that no learned language
+explains better than random bytes; if no document is labelled, all that have letters stay. Rows with null doc_ids are
+documents like others; of equal or alike texts the one with the smallest id stays, a row without an id only where the
+group has no other. Rows that repeat doc_id and text leave one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from quern.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents whose text no learned language explains go: by the model's evidence, not by the label."""
     return langid.keep_identified(docs)
 
 
