@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000
 _written: list[str] = []
 
 
@@ -42,6 +43,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and the number of its rows in `count`, of `total` in all.
+
+    Keys of very many rows would gather in one task each. There are few of them (at most BROADCAST_ROWS by the choice
+    of the limit), so they are broadcast, and only the rows of the others are shuffled.
+    """
+    hot = max(1000, total // BROADCAST_ROWS)
+    hubs, rest = F.broadcast(table.where(F.col(count) > hot)), table.where(F.col(count) <= hot)
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(rest, key))
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables that written() has left; results that read them end with it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

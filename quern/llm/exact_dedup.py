@@ -3,9 +3,12 @@
 The rows arrive in batches. A finished batch becomes an immutable snapshot: its first-seen
 digests, dealt into hash buckets, each bucket with a static binary-fuse filter. A later batch
 groups its own duplicates first; one row for each new digest is screened by the filters of the
-same bucket, and only positives are joined with the snapshot's exact digests. All members of a
-class are then compared byte by byte (least and greatest text of the class, pre-aggregated on the
-map side); texts that share a digest but differ are grouped anew by their whole text.
+same bucket, and only positives are joined with the snapshot's exact digests.
+
+Within one table (classify) batches are drawn by a hash of the doc_id, and bytes are checked where all texts of a
+class pass by: its least and its greatest text must be the same (pre-aggregated on the map side);
+texts that share a digest but differ are grouped anew by their whole text. Between runs, snapshot()
+keeps a text for each digest and can be saved and loaded; screen() compares the texts of positives byte by byte at the join.
 
 Edge cases: null text counts as empty; null doc_ids come in the last batch, never win against an
 id, and a class of null ids alone has keep_id null; of rows that repeat doc_id and text, one (in
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, own_name, with_rid
+from quern.llm.common import cut, join_hot, own_name, with_rid
 from quern.llm.fuse import BinaryFuse8
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -42,8 +45,11 @@ def digests(docs: DataFrame, digest=lambda t: F.sha2(t, 256)) -> DataFrame:
 class Snapshot:
     """Digests first seen in one batch, and their filters by bucket."""
 
-    def __init__(self, rows: DataFrame):
-        """rows: sha, h64, keep (struct), n; one row a digest."""
+    def __init__(self, rows: DataFrame, buckets: int | None = None, filters: DataFrame | None = None):
+        """rows: sha, h64, keep (struct), n, perhaps text; one row a digest."""
+        if filters is not None:
+            self.rows, self.buckets, self.filters = rows, buckets, filters
+            return
         self.rows = cut(rows)
         self.buckets = max(32, math.ceil(self.rows.count() / BUCKET_KEYS))
 
@@ -54,6 +60,17 @@ class Snapshot:
         keyed = self.rows.select(F.pmod("h64", F.lit(self.buckets)).alias("bucket"), "h64")
         self.filters = cut(keyed.groupBy("bucket").applyInPandas(build, "bucket long, filter binary"))
 
+    def save(self, path: str) -> None:
+        """Write rows and filters as Parquet; a snapshot never changes, so the folder must be new."""
+        self.rows.write.parquet(f"{path}/rows")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Snapshot":
+        filters = spark.read.parquet(f"{path}/filters")
+        first = filters.select("buckets").first()
+        return cls(spark.read.parquet(f"{path}/rows"), first["buckets"] if first else 32, filters.drop("buckets"))
+
     def positives(self, rows: DataFrame) -> DataFrame:
         """sha of the rows (sha, h64) that the filters let through: all that are held, and one in 256 others."""
 
@@ -74,11 +91,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _owners(rows: DataFrame, batches: int) -> DataFrame:
     """One row a digest over all batches: sha, keep, n."""
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    step = max(1, -(-(high - low + 1) // batches))
-    batch = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(step)), F.lit(batches - 1))
+    batch = F.when(F.col("doc_id").isNull(), batches - 1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
     snapshots, later = [], []
     for i in range(batches):
         new = cut(_grouped(rows.where(batch == i)))
@@ -116,7 +129,7 @@ def classify(docs: DataFrame, batches: int = 2, digest=lambda t: F.sha2(t, 256))
     # The byte check: a class is sound if its least and its greatest text are the same.
     unsound = cut(texts.groupBy("sha").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("sha"))
     columns = ["doc_id", "keep_id", "group_size", "kept", "sha"]
-    sound = rows.join(owners, "sha").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_rid") == F.col("keep.rid")).alias("kept"), "sha")
+    sound = join_hot(rows, owners, "sha", "n", rows.count()).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_rid") == F.col("keep.rid")).alias("kept"), "sha")
     if unsound.count():
         sound = sound.join(unsound, "sha", "left_anti").select(columns)
         whole = cut(with_rid(_texts_of(docs, unsound, digest)))
@@ -126,6 +139,34 @@ def classify(docs: DataFrame, batches: int = 2, digest=lambda t: F.sha2(t, 256))
     return sound.withColumnRenamed("sha", "text_sha256")
 
 
+def snapshot(docs: DataFrame, digest=lambda t: F.sha2(t, 256)) -> Snapshot:
+    """A snapshot of a table to screen later ones with: every different text once, with the row that stays."""
+    rows = digests(docs, digest).select("doc_id", "_rid", "sha", "h64")
+    texts = docs.select(normalised(F.col("text")).alias("text"))
+    texts = texts.withColumn("sha", digest(F.col("text"))).groupBy("sha").agg(F.min("text").alias("text"), F.max("text").alias("_most"))
+    kept = _grouped(rows).join(texts, "sha")
+    if kept.where(F.col("text") != F.col("_most")).limit(1).count():
+        raise ValueError("different texts share a digest: choose a stronger one")
+    return Snapshot(kept.drop("_most"))
+
+
+def screen(docs: DataFrame, held: list[Snapshot], digest=lambda t: F.sha2(t, 256)) -> DataFrame:
+    """doc_id, text_sha256, snapshot (the first of those that hold the text, from 0; null if none), keep_id; one row for each row of docs."""
+    rows = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")))
+    rows = cut(rows.withColumn("sha", digest(F.col("text"))).withColumn("h64", F.xxhash64("sha")))
+    new, total, found = cut(rows.groupBy("sha").agg(F.first("h64").alias("h64"), F.count("*").alias("_n"))), rows.count(), None
+    for k, old in enumerate(held):
+        passed = old.positives(new).join(new.select("sha", "_n"), "sha")
+        same = old.rows.select("sha", F.col("text").alias("_held"), F.col("keep.doc_id").alias("keep_id")).join(passed, "sha")
+        hits = join_hot(rows, same, "sha", "_n", total).where(F.col("text") == F.col("_held"))
+        hits = hits.select("_rid", F.struct(F.lit(k).alias("k"), "keep_id").alias("hit"))
+        found = hits if found is None else found.unionAll(hits)
+    if found is None:
+        return rows.select("doc_id", F.col("sha").alias("text_sha256"), F.lit(None).cast("int").alias("snapshot"), F.lit(None).cast("long").alias("keep_id"))
+    first = found.groupBy("_rid").agg(F.min("hit").alias("hit"))
+    return rows.join(first, "_rid", "left").select("doc_id", F.col("sha").alias("text_sha256"), F.col("hit.k").alias("snapshot"), "hit.keep_id")
+
+
 def deduplicate(docs: DataFrame, batches: int = 2) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows that repeat doc_id and text leave one."""
     found = cut(classify(docs, batches))

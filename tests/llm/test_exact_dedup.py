@@ -61,3 +61,35 @@ def test_filter_holds_all_and_few_others(n):
     f = BinaryFuse8.load(BinaryFuse8.build(keys).dump())
     assert f.holds(keys).all()
     assert f.holds(rng.integers(-(2**63), 2**63 - 1, 50_000)).mean() < 0.01
+
+
+def test_snapshots_screen_later_runs(spark, tmp_path):
+    from quern.llm import exact_dedup
+
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda t: F.substring(F.sha2(F.substring(t, 1, 3), 256), 1, 16)  # noqa: E731  # equal for texts that begin alike
+    exact_dedup.snapshot(table([(5, "one  two"), (3, "one two"), (7, None), (None, "lone")])).save(f"{tmp_path}/a")
+    exact_dedup.snapshot(table([(1, "one two"), (2, "three")])).save(f"{tmp_path}/b")
+    held = [exact_dedup.Snapshot.load(spark, f"{tmp_path}/{x}") for x in "ab"]
+    new = table([(10, "one\ttwo"), (11, "three"), (12, "four"), (13, ""), (14, "lone"), (None, "three"), (15, "four")])
+    got = sorted(((r.doc_id, r.snapshot, r.keep_id) for r in exact_dedup.screen(new, held).collect()), key=repr)
+    assert got == sorted([(10, 0, 3), (11, 1, 2), (12, None, None), (13, 0, 7), (14, 0, None), (None, 1, 2), (15, None, None)], key=repr)
+    assert exact_dedup.screen(new, []).where("snapshot is null").count() == 7 and exact_dedup.screen(new.limit(0), held).count() == 0
+    # A shared digest is no proof: the bytes decide.
+    one = exact_dedup.snapshot(table([(1, "abc"), (2, "xyz")]), weak)
+    assert [(r.doc_id, r.snapshot) for r in exact_dedup.screen(table([(4, "abcd"), (5, "abc")]), [one], weak).orderBy("doc_id").collect()] == [(4, None), (5, 0)]
+
+
+def test_an_outlying_id_leaves_both_batches_filled(spark):
+    from quern.llm import exact_dedup
+
+    docs = spark.createDataFrame([(i, f"t{i % 40}") for i in range(80)] + [(2**62, "t1"), (-(2**62), "t2")], "doc_id long, text string")
+    seen = []
+    was = exact_dedup.Snapshot.positives
+    exact_dedup.Snapshot.positives = lambda self, rows: seen.append((self.rows.count(), rows.count())) or was(self, rows)
+    try:
+        got = exact_dedup.classify(docs).collect()
+    finally:
+        exact_dedup.Snapshot.positives = was
+    assert len(got) == 82 and {r.doc_id for r in got if r.kept} == {0, 1, *range(3, 40), -(2**62)}
+    assert all(a > 10 and b > 10 for a, b in seen) and seen
