@@ -139,3 +139,50 @@ def test_pipeline(spark, sf):
     last = corpus_pipeline.STAGES[-1][1](spark, seen[-1], sf).collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in seen[-1].collect()}
     assert corpus_pipeline.run(spark, sf).count() == len(last)
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage on all that its predecessor kept, against plain loops."""
+    import public_tokenizers
+
+    import corpus_pipeline
+    from quern.llm import langid, pii
+    from tests.llm.test_langid_pii import naive_scores
+    from tests.llm.test_minhash import brute as near_brute
+    from tests.llm.test_packing_bpe import laid_out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500")
+    noise = spark.createDataFrame([(10**6 + i, "zxq vkwj qqxz jjkv xwzq vvkj zzxq wkvj qxjz kvwz " * 9 + str(i), None, "s", 1) for i in range(3)] + [(10**7, None, "en", "s", 0), (10**7 + 1, "12 34 !", "de", "s", 7)], docs.schema)
+    docs = docs.unionByName(noise).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language_id"](spark, docs, sf).cache()
+    evidence = naive_scores(docs.collect(), langid.vocabulary(public_tokenizers.path(langid.PIECES)))
+    want = {i for i, (_, _, e) in evidence.items() if e is not None and e >= langid.LEAST}
+    assert {r.doc_id for r in first.collect()} == want and not {10**6, 10**7, 10**7 + 1} & want
+    second = stages["exact_dedup"](spark, first, sf).cache()
+    seen = {}
+    for r in sorted(first.collect(), key=lambda r: r.doc_id):
+        seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text), r.doc_id)
+    assert {r.doc_id for r in second.collect()} == set(seen.values())
+    third = stages["near_dedup"](spark, second, sf).cache()
+    assert {r.doc_id for r in third.collect()} == {i for i, n, c in near_brute(second.collect(), 5, 80, 100) if n == 0 or i == c}
+    fourth = stages["pii"](spark, third, sf).cache()
+    assert {r.doc_id: r.text for r in fourth.collect()} == {r.doc_id: pii.redacted(r.text) for r in third.collect()}
+    last = stages["packing"](spark, fourth, sf).collect()
+    by = laid_out(last, 2048)
+    assert {r.doc_id for r in last} == {r.doc_id for r in fourth.collect()} and len(by) <= math.ceil(sum(r.length for r in last) / 2048) + 1
+
+
+def test_pipeline_on_the_edge_table(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    for docs in (documents(spark), documents(spark).withColumn("lang", F.lit(None).cast("string")), documents(spark).limit(0)):
+        seen = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, "").cache()
+            assert seen.columns == docs.columns
+        rows = corpus_pipeline.STAGES[-1][1](spark, seen, "").collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in seen.collect()}
+        if docs.count():
+            assert {8, 15} <= {r.doc_id for r in rows} and not {5, 6, 7, 14} & {r.doc_id for r in rows}
