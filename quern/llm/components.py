@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import BROADCAST_ROWS, cut
 
 
 HOT = 1000  # neighbours
-BROADCAST_ROWS = 500_000
 
 
 def _print(edges: DataFrame) -> tuple:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, own_name, small_batches, with_rid, written
+from quern.llm.common import BROADCAST_ROWS, cut, join_hot, own_name, small_batches, with_rid, written
 from quern.llm.components import components
 from quern.llm.words import WordHashes, mix, shingles
 
@@ -41,7 +41,6 @@ ROWS = 4  # coordinates of a band
 BUCKET_BLOCK = 1024
 SET_BLOCK = 256
 SET_BYTES = 16 << 20  # of the sets of a block, on average
-BROADCAST_ROWS = 500_000
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -191,20 +190,18 @@ def _like(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _blocks_of(rows: DataFrame, key: str) -> DataFrame:
-    """key, _blocks: how many blocks the rows of a group make, by their number and their bytes."""
-    size = rows.groupBy(key).agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("s"))
-    return size.select(key, F.ceil(F.greatest(F.col("c") / F.lit(SET_BLOCK), F.col("s") / F.lit(SET_BYTES))).cast("int").alias("_blocks"))
+def blocks_of(count: Column, shingles: Column) -> Column:
+    """How many blocks sets make, by their number and the number of all their shingles."""
+    return F.ceil(F.greatest(count / F.lit(SET_BLOCK), shingles * 8 / F.lit(SET_BYTES))).cast("int")
 
 
 def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets: cluster (its least node), node, shingles. Edges that connect whatever is connected by pairs with
-    den * intersection >= num * union."""
-    sets = written(sets.dropDuplicates(["cluster", "node"]))
+    """sets: cluster (its least node), node, _blocks (of the cluster), shingles. Edges that connect whatever is connected
+    by pairs with den * intersection >= num * union."""
+    sets = written(sets)
     # Every member against the head; a large group in several chunks, each with a copy of the head.
-    dealt = sets.join(_blocks_of(sets, "cluster"), "cluster")
     own = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")))
-    dealt = dealt.select("cluster", F.explode(own).alias("_i"), (F.col("node") != F.col("cluster")).alias("_member"), "node", "shingles")
+    dealt = sets.select("cluster", F.explode(own).alias("_i"), (F.col("node") != F.col("cluster")).alias("_member"), "node", "shingles")
 
     def against_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, head = None, None
@@ -214,21 +211,22 @@ def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
                 found = np.frombuffer(packed, np.uint64)
                 if not member:
                     last, head = (cluster, chunk), found
-                elif last == (cluster, chunk):
-                    out.append((cluster, node, _like(head, found, num, den)))
-                else:  # no head came: its text is gone from the table
-                    out.append((cluster, node, False))
+                else:
+                    out.append((cluster, node, last == (cluster, chunk) and _like(head, found, num, den), len(found)))
             if out:
-                yield pd.DataFrame(out, columns=["cluster", "node", "linked"])
+                yield pd.DataFrame(out, columns=["cluster", "node", "linked", "n"])
 
-    met = cut(spread_by(dealt, "cluster", "_i", then="_member").mapInPandas(against_head, "cluster long, node long, linked boolean"))
+    met = cut(spread_by(dealt, "cluster", "_i", then="_member").mapInPandas(against_head, "cluster long, node long, linked boolean, n long"))
     edges = met.where("linked").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
-    apart = met.where("not linked").select("cluster", "node")
-    if apart.isEmpty():
+    # The others among themselves, and with all that the head has: how many blocks both make in each group.
+    part = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.col("n")).otherwise(0)))
+    sizes = met.groupBy("cluster").agg(blocks_of(*part(~F.col("linked"))).alias("_l"), blocks_of(*part(F.col("linked"))).alias("_r"), F.count("*").alias("_m")).where("_l > 0")
+    plan = cut(join_hot(met.select("cluster", "node", "linked"), cut(sizes), "cluster", "_m", met.count()).drop("_m"))
+    n = plan.count()
+    if not n:
         return edges
-    # The others among themselves, and with all that the head has.
-    lone = sets.join(apart, ["cluster", "node"], "left_semi")
-    linked = sets.join(apart.select("cluster").distinct(), "cluster", "left_semi").join(apart, ["cluster", "node"], "left_anti").where(F.col("node") != F.col("cluster"))
+    rows = sets.select("cluster", "node", "shingles").join(F.broadcast(plan) if n <= BROADCAST_ROWS else plan, ["cluster", "node"])
+    lone, linked = rows.where("not linked"), rows.where("linked and _l > 0")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(batches, ["cluster", "_i", "_j"]):
@@ -242,19 +240,18 @@ def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
             if edges := forest(like, ids):
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    a = lone.join(_blocks_of(lone, "cluster").withColumnRenamed("_blocks", "_n"), "cluster")
-    among = in_blocks(a, "cluster", F.col("_n"), "node", ["node", "shingles"]).withColumn("_lone", F.lit(True))
-    n_lone, n_linked = (_blocks_of(x, "cluster").withColumnRenamed("_blocks", c) for x, c in ((lone, "_l"), (linked, "_r")))
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = lone.join(n_lone, "cluster").join(n_linked, "cluster").select("cluster", block("_l").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("_j"), "node", "shingles", F.lit(True).alias("_lone"))
-    right = linked.join(n_lone, "cluster").join(n_linked, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_i"), block("_r").alias("_j"), "node", "shingles", F.lit(False).alias("_lone"))
+    among = in_blocks(lone, "cluster", F.col("_l"), "node", ["node", "shingles"]).withColumn("_lone", F.lit(True))
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = lone.where("_r > 0").select("cluster", block("_l").alias("_i"), every("_r").alias("_j"), "node", "shingles", F.lit(True).alias("_lone"))
+    right = linked.select("cluster", every("_l").alias("_i"), block("_r").alias("_j"), "node", "shingles", F.lit(False).alias("_lone"))
     across = spread_by(left.unionByName(right), "cluster", "_i", "_j")
     schema = "a long, b long"
     return edges.unionAll(among.mapInPandas(verify, schema)).unionAll(across.mapInPandas(verify, schema))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, cluster, m, shingles for the wanted representatives (id, set_key, node, cluster, m), from their whole texts."""
+    """cluster, node, _blocks, shingles for the wanted representatives (doc_id, set_key, cluster, node, _blocks), from their whole texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -269,9 +266,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     few = ids.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = rows.mapInArrow(read, "doc_id long, set_key binary, shingles binary")
-    wanted = wanted.select("set_key", "node", "cluster", "m", F.col("doc_id").alias("_id"))
+    wanted = wanted.select("set_key", "node", "cluster", "_blocks", F.col("doc_id").alias("_id"))
     found = sets.join(F.broadcast(wanted) if few else wanted, (sets["set_key"] == wanted["set_key"]) & sets["doc_id"].eqNullSafe(wanted["_id"]))
-    return found.select("node", "cluster", "m", "shingles")
+    return found.select("cluster", "node", "_blocks", "shingles")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands: int = 24) -> DataFrame:
@@ -291,8 +288,8 @@ def grouped(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands
     all_rows = fingerprints(docs, size, k, rid)
     # 1. One representative for each distinct set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_rid").alias("rid")))
-    classes = all_rows.where("n > 0").groupBy("set_key").agg(first.alias("first"), F.min("doc_id").alias("least"))
-    classes = cut(classes.select("set_key", F.col("first.rid").alias("node"), "first.doc_id", "least"))
+    classes = all_rows.where("n > 0").groupBy("set_key").agg(first.alias("first"), F.min("doc_id").alias("least"), F.min("n").alias("size"))
+    classes = cut(classes.select("set_key", F.col("first.rid").alias("node"), "first.doc_id", "least", "size"))
     reps = all_rows.where("n > 0").join(classes.select("node"), F.col("_rid") == F.col("node"), "left_semi").select(F.col("_rid").alias("node"), "keys", "sig")
     # 2. Buckets with several members, and the forests of their likely pairs.
     keyed = reps.select("node", F.explode("keys").alias("key"))
@@ -300,11 +297,11 @@ def grouped(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, bands
     members = cut(keyed.join(several, "key"))
     rows = members.join(reps.select("node", "sig"), "node")
     likely = components(_bucket_edges(rows, least))
-    sizes = likely.groupBy("component").agg(F.count("*").alias("m"))
-    clusters = likely.join(sizes, "component").select("node", F.col("component").alias("cluster"), "m")
     # 3. The exact check on full sets.
-    wanted = cut(clusters.join(classes, "node"))
-    groups = components(cut(_verified(_sets_of(docs, wanted, size).select("cluster", "node", "shingles"), num, den)))
+    members = cut(likely.withColumnRenamed("component", "cluster").join(classes, "node"))
+    sizes = cut(members.groupBy("cluster").agg(blocks_of(F.count("*"), F.sum("size")).alias("_blocks"), F.count("*").alias("m")))
+    wanted = cut(join_hot(members, sizes, "cluster", "m", members.count()))
+    groups = components(cut(_verified(_sets_of(docs, wanted, size), num, den)))
     # 4. The smallest doc_id of each component, for all rows of all its classes.
     found = classes.join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least", "node")
     head = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node").alias("rid")))

@@ -59,9 +59,9 @@ def test_members_apart_from_their_head(spark, monkeypatch):
     rows = docs.collect()
     hashes = WordHashes()
     with np.errstate(over="ignore"):
-        sets = [(0, r.doc_id, bytearray(shingles(r.text, 3, hashes).tobytes())) for r in rows]
-    edges = minhash._verified(spark.createDataFrame(sets, "cluster long, node long, shingles binary"), 95, 100)
-    parent = {i: i for _, i, _ in sets}
+        sets = [(0, r.doc_id, 15, bytearray(shingles(r.text, 3, hashes).tobytes())) for r in rows]
+    edges = minhash._verified(spark.createDataFrame(sets, "cluster long, node long, _blocks int, shingles binary"), 95, 100)
+    parent = {i: i for _, i, _, _ in sets}
 
     def find(x):
         while parent[x] != x:
