@@ -41,7 +41,7 @@ from quern.llm.minhash import by_group, forest, spread_by
 PIVOTS = 4096
 SAMPLE = 2048
 CELL = 8192  # vectors for each pivot, where more pivots do not pay
-BLOCK = 8192
+BLOCK = 8192  # vectors, and fewer where the tasks would not all have work
 RING = 2048
 SLACK = 1e-4  # over the error of single-precision products of unit vectors
 ROUNDING = 1e-9  # over the error of angles in double precision
@@ -83,7 +83,12 @@ def reached(a: np.ndarray, cell: np.ndarray, radius: np.ndarray, theta: float) -
     return (a - own[:, None] <= 2 * theta + ROUNDING) & (a <= theta + radius[None, :] + ROUNDING) & (np.arange(len(radius))[None, :] < cell[:, None])
 
 
-def pivots_for(total: int, chosen: np.ndarray, sample: np.ndarray, theta: float) -> np.ndarray:
+def block_of(total: int, tasks: int) -> int:
+    """Pairs of blocks should make at least so many tasks."""
+    return min(BLOCK, max(512, math.ceil(total / math.ceil(math.sqrt(2 * tasks)))))
+
+
+def pivots_for(total: int, chosen: np.ndarray, sample: np.ndarray, theta: float, block: int = BLOCK) -> np.ndarray:
     """As many of the chosen vectors as are expected to move the least: copies of a vector times the blocks that each meets."""
     best = None
     k = max(1, math.ceil(total / CELL))
@@ -94,7 +99,7 @@ def pivots_for(total: int, chosen: np.ndarray, sample: np.ndarray, theta: float)
         radius = np.full(k, -np.inf)
         np.maximum.at(radius, cell, a[np.arange(len(a)), cell])
         copies = 1 + reached(a, cell, radius, theta).sum() / max(1, len(a))
-        cost = copies * max(1.0, total / k / BLOCK)
+        cost = copies * max(1.0, total / k / block)
         if best is None or cost < 0.9 * best[0]:
             best = (cost, k)
         if k >= len(chosen):
@@ -136,11 +141,11 @@ def _assigned(rows: DataFrame, pivots: np.ndarray, theta: float, kind: str) -> D
     return rows.mapInPandas(deal, f"node long, n long, vec array<{kind}>, cell long, home boolean, r double")
 
 
-def _join_cells(dealt: DataFrame, sizes: list, t: float) -> DataFrame:
+def _join_cells(dealt: DataFrame, sizes: list, t: float, block: int) -> DataFrame:
     """kind 0: (node, links found); kind 1: (node, another node of its component)."""
     spark, theta = dealt.sparkSession, math.acos(t)
     # At most two rows a pivot came to the driver: how many blocks a cell's own and copied vectors make.
-    count = {(r["cell"], r["home"]): -(-r["count"] // BLOCK) for r in sizes}
+    count = {(r["cell"], r["home"]): -(-r["count"] // block) for r in sizes}
     table = spark.createDataFrame([(c, count.get((c, True), 0), count.get((c, False), 0)) for c in sorted({c for c, _ in count})], "cell long, _h int, _r int")
     h, r = F.col("_h"), F.col("_r")
     at = F.pmod(F.xxhash64("node"), F.when(F.col("home"), h).otherwise(r)).cast("int")
@@ -216,9 +221,10 @@ def near_vectors(vectors: DataFrame, t: float = 0.9) -> DataFrame:
         most = min(PIVOTS, max(math.isqrt(total), math.ceil(total / CELL)))
         drawn = own.select("vec").orderBy(F.xxhash64("node")).limit(most + SAMPLE).toPandas()["vec"]  # at most PIVOTS + SAMPLE vectors
         drawn = units(matrix(drawn))
-        pivots = pivots_for(total, drawn[:most], drawn[most:], theta)
+        block = block_of(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        pivots = pivots_for(total, drawn[:most], drawn[most:], theta, block)
         dealt = cut(_assigned(own, pivots, theta, kind))
-        found = _join_cells(dealt, dealt.groupBy("cell", "home").count().collect(), t)
+        found = _join_cells(dealt, dealt.groupBy("cell", "home").count().collect(), t, block)
         links = found if links is None else links.unionAll(found)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
