@@ -49,8 +49,8 @@ SCALE = 16.0  # a byte, against underflow
 ROUNDS = 4
 FLOOR = 0.01  # share of the uniform distribution in every language's pieces
 LEAST = -math.log(128)  # prose lies over -2.5, a language akin to none learned at -4, base64 at -7.7, hex digits at -5.3
-CHUNK = 2048  # words side by side
-HELD = 50_000  # words that a task gathers before it works through them
+CHUNK = 1024  # words side by side
+HELD = 20_000  # words that a task gathers before it works through them
 _WORDLIKE = re.compile(r"[^\W\d_]+")
 
 
@@ -203,7 +203,7 @@ class Scorer:
     among the hashes of the pieces, and the forward sums run over a matrix of words of like length.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __init__(self, path: str, p: np.ndarray):
         self.v, self.p = vocabulary(path), p
@@ -212,7 +212,7 @@ class Scorer:
 
     def _forget(self):
         self.place = Places()
-        self.scores = np.zeros((1024, len(self.p)))
+        self.scores = np.zeros((1024, len(self.p)), np.float64)
         self.bytes = np.zeros(1024, np.int64)  # of the letters, with a space before each run
 
     def _words(self, words: list[bytes]) -> np.ndarray:

@@ -16,7 +16,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all when full, so that memory stays bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
