@@ -146,6 +146,18 @@ def tagged(text: Column, templates=TEMPLATES) -> Column:
     return F.try_element_at(names, F.lower(F.regexp_extract(text, SPDX, 1)))
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern for the words that shares their beginnings, so that few branches are tried at each place."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    ends = by.pop("", None) is not None
+    branches = [re.escape(c) + one_of(rest) for c, rest in sorted(by.items())]
+    if not branches:
+        return ""
+    return branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)}){'?' if ends else ''}"
+
+
 def scan(files: DataFrame, by_content: bool = False) -> DataFrame:
     """doc_id, path, licence, score, origin (header, file, inherited or none), origin_dir; one row for each row of files.
 
@@ -155,7 +167,7 @@ def scan(files: DataFrame, by_content: bool = False) -> DataFrame:
     path = F.regexp_replace(F.col("path").cast("string"), "/+", "/")
     rows = with_rid(files.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text")))
     name = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(sorted({re.escape(t) for t, _, _ in v.anchors()}, key=lambda t: (-len(t), t))) + ")(?![a-z0-9])"
+    anchor = f"(?i)(?<![a-z0-9]){one_of(sorted({t for t, _, _ in v.anchors()}))}(?![a-z0-9])"
     some = F.coalesce(F.col("text").rlike(anchor), F.lit(False))
     narrow = cut(rows.select("doc_id", "_rid", "path", name.alias("named"), F.when(some, terms(F.col("text"))).alias("terms"), tagged(F.col("text")).alias("tag")))
     narrow = narrow.withColumn("dir", F.array_join(F.filter(F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/"), lambda p: p != ""), "/"))

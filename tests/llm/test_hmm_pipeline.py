@@ -89,6 +89,18 @@ def test_held_out_documents_gain_from_training(spark, sf):
     assert full > base + 0.15 * n
 
 
+def test_rounds_over_a_sample_only_set_the_start(spark, sf, monkeypatch):
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    monkeypatch.setattr(hmm, "START_TOKENS", 5000)
+    was = hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda encoded, p: seen.append(encoded.count()) or was(encoded, p))
+    found = hmm.score(docs).collect()
+    everything = sum(zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in found)
+    assert 0 < seen[0] < everything / 2 and seen[-1] == seen[-2] == everything  # at least two rounds over all
+    own = [r for r in found if r.held_out]
+    assert sum(r.score for r in own) > sum(r.base_score for r in own)
+
+
 def test_training_ends_when_gains_end():
     logs = iter([-70.0, -69.9999, -69.99, -65.0, -62.0, -61.9999, -61.0])
     end = hmm.trained(lambda p: hmm.Parameters(p.pi, p.a, p.b, next(logs)), hmm.first_guess(np.ones(5), 3), 10)

@@ -121,6 +121,15 @@ def test_every_window_over_the_threshold_is_found(spark):
     assert 20 < found
 
 
+def test_patterns_of_words():
+    import re
+
+    words = sorted({t for t, _, _ in licenses.Vectors().anchors()} | {"a", "ab", "abc", "b"})
+    pattern = re.compile(f"(?<![a-z0-9]){licenses.one_of(words)}(?![a-z0-9])")
+    assert all(pattern.fullmatch(w) for w in words)
+    assert not any(pattern.search(w) for w in ("ac", "abcd", "xmit", "apachee", "b2", ""))
+
+
 def test_licence_documents_pass_their_licence_on(spark):
     rows = [(1, "s", "en", "Released under the MIT License."), (2, "s", "en", "nothing said"), (3, "s", "de", "nichts gesagt"), (4, "t", None, "This work is licensed under the GNU General Public License, version 3. " + "and much more is said " * 9), (5, "t", None, None)]
     docs = spark.createDataFrame([(i, src, lang, text, 1) for i, src, lang, text in rows], "doc_id long, source string, lang string, text string, dir int")
