@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.access import Role, decisions
+from quern.access import Role, decisions, granted
 from quern.engine import DENIED, Engine, ValueTable
 from quern.model import Field, Model, Object
 from quern.plans.virtual import Boundary, PointInTime
@@ -265,6 +265,15 @@ def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT C.Ref AS Ref FROM Catalog.Customers AS C WHERE NOT C.Ref IN (SELECT P.Ref FROM Catalog.Parts AS P)")
 
 
+def _rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rights over metadata, by roles."""
+    m = engine(spark, sf_dir).model
+    clerk = Role("clerk", {}, listed={("Document.Orders", "View"): True, ("Document.Orders", "Status", "View"): False, ("Catalog.Parts", "Read"): True}, attributes=True)
+    admin = Role("admin", {}, listed={("Catalog.Parts", "View"): False}, new_objects=True)
+    asked = [(r, o, w, a) for r in (clerk, admin) for o, w, a in (("Document.Orders", "View", None), ("Документ.Заказы", "Просмотр", "Status"), ("Document.Orders", "View", "Дата"), ("Catalog.Parts", "Read", None), ("Catalog.Parts", "View", "Description"))]
+    return _values(spark, [(r.name, o, w, a, granted(m, r, o, w, a)) for r, o, w, a in asked], "role object permission attribute granted")
+
+
 _SEEN = f"SELECT c_mktsegment AS Segment, sum({_B}) AS B, FALSE AS Forbidden FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1"
 #: name -> (function, DuckDB SQL): what is more than one text over the sample model.
 MORE: dict[str, tuple] = {
@@ -279,6 +288,11 @@ MORE: dict[str, tuple] = {
     "field_usage": (_field_usage, "SELECT * FROM (VALUES ('D.Ref', 'projection'), ('D.Customer', 'projection'), ('D.Customer.Nation', 'condition'), ('D.Date', 'ordering'), ('T.A', 'projection')) t(field, role)"),
     "projection_recipe": (_recipe, "SELECT * FROM (VALUES ('R', 'ref', 'Document.Orders', 'R'), ('V', 'composite', '', 'V_TYPE,V_S,V_N,V_T,V_L,V_RTRef,V_RRRef')) t(label, kind, targets, columns)"),
     "rules_of_roles": (_templates, f"SELECT c_custkey AS Ref FROM customer WHERE c_nationkey = 3 OR {_B} > 9000"),
+    "metadata_rights": (
+        _rights,
+        "SELECT * FROM (VALUES ('clerk', 'Document.Orders', 'View', 'None', 'True'), ('clerk', 'Документ.Заказы', 'Просмотр', 'Status', 'False'), ('clerk', 'Document.Orders', 'View', 'Дата', 'True'), ('clerk', 'Catalog.Parts', 'Read', 'None', 'True'), ('clerk', 'Catalog.Parts', 'View', 'Description', 'False'), "
+        "('admin', 'Document.Orders', 'View', 'None', 'True'), ('admin', 'Документ.Заказы', 'Просмотр', 'Status', 'False'), ('admin', 'Document.Orders', 'View', 'Дата', 'False'), ('admin', 'Catalog.Parts', 'Read', 'None', 'True'), ('admin', 'Catalog.Parts', 'View', 'Description', 'False')) t(role, object, permission, attribute, granted)",
+    ),
     "catalog_columns": (_catalog("SELECT c.column_name, c.ordinal_position AS at, c.data_type FROM information_schema.columns c WHERE c.table_name = 'Catalog.Nations' AND c.data_type = ANY (ARRAY['bytea', 'text']) ORDER BY 2 LIMIT 10"), "SELECT * FROM (VALUES ('Ref', 1, 'bytea'), ('Description', 2, 'text'), ('Region', 3, 'bytea')) t(column_name, \"at\", data_type)"),
     "catalog_joins_and_aggregates": (
         _catalog("WITH named AS (SELECT c.oid, c.relname, n.nspname FROM pg_catalog.pg_class c LEFT JOIN pg_catalog.pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'v') AND n.nspname !~ '^pg_' AND pg_catalog.pg_table_is_visible(c.oid)) SELECT named.relname, count(*) AS n, max(a.attnum) AS last, string_agg(a.attname, ',') WITHIN GROUP (ORDER BY a.attnum) AS names FROM named JOIN pg_attribute a ON a.attrelid = named.oid WHERE named.relname OPERATOR(pg_catalog.~) '^Catalog[.](Nations|Regions)$' AND NOT a.attisdropped GROUP BY named.relname HAVING count(*) > 1"),

@@ -182,7 +182,8 @@ class Engine:
             self._frames[key] = base.select(*[F.expr(f.sql).alias(f.name) for f in obj.fields])
         return self._frames[key]
 
-    def relation(self, obj: Object, alias: str) -> tuple[DataFrame, Src]:
+    def relation(self, obj: Object, alias: str, implicit: bool = False) -> tuple[DataFrame, Src]:
+        """An object's rows under its rule. implicit: reached by a dereference, which ALLOWED alone does not filter."""
         df, src = bind(self.frame(obj), alias, [(f.name, f.names, f.kind, f.targets) for f in obj.fields], obj, exact=True)
         if self._in_rule:
             return df, src
@@ -190,7 +191,7 @@ class Engine:
         if self.restricted and full not in self.restrictions:
             raise QueryError("restriction", f"{full} has no decision")
         rule = self.restrictions.get(full)
-        if rule is None or not (self._allowed or self.restricted):
+        if rule is None or not (self._allowed and not implicit or self.restricted):
             return df, src
         if rule is DENIED:
             return df.where(F.lit(False)), src

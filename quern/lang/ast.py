@@ -183,11 +183,12 @@ class Query(Node):
 
 @dataclass
 class Rule(Node):
-    """The text of a restriction: an alias of the restricted rows, joins (their left sides are those rows), a condition."""
+    """The text of a restriction: an alias of the restricted rows, joins (their left sides are those rows), a condition, a source that names the rows' object."""
 
     alias: str | None
     joins: list[Join]
     condition: Node
+    source: Source | None = None
 
 
 @dataclass

@@ -19,6 +19,10 @@ def apply(engine, df: DataFrame, src: Src, text: str) -> DataFrame:
     """The rows for which the rule holds. Rows never multiply: with joins, some joined row must satisfy the condition."""
     rule = parse_restriction(text)
     names = (CURRENT_TABLE, *([rule.alias] if rule.alias else []))
+    if rule.source is not None:
+        if rule.source.query or rule.source.param or rule.source.args is not None or len(rule.source.parts) != 2 or engine.object_of(rule.source.parts) is not src.obj:
+            raise QueryError("restriction", "the source of a rule is the object that it restricts")
+        names += (rule.source.alias,) if rule.source.alias else ()
     if not rule.joins:
         condition, scope = _lowered(engine, [(df, Src(src.obj.full_name.split(".")[1], src.fields, src.order, src.obj, also=names))], [rule.condition])
         return scope.df.where(condition[0]).select(*df.columns)

@@ -121,7 +121,7 @@ class Scope:
         key = (str(val.col), target)
         if key not in self.joined:
             obj = self.engine.object(target)
-            df, src = self.engine.relation(obj, f"_{target}")
+            df, src = self.engine.relation(obj, f"_{target}", implicit=True)
             ref = src.find("Ref")
             if ref is None:
                 raise QueryError("type", f"{target} has no reference")

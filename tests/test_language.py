@@ -244,6 +244,11 @@ def test_every_read_is_filtered(spark):
     assert e.query("SELECT K.R FROM Kept AS K").count() == 4
 
 
+def test_allowed_alone_leaves_dereferences(spark):
+    e = small(spark, restrictions={"Catalog.Goods": 'Ref = "c"'})
+    assert rows(e.query("SELECT ALLOWED G.Ref, G.Parent.Description FROM Catalog.Goods AS G")) == [("c", "Box")]
+
+
 def test_temporary_tables_from_before_are_refused(spark):
     e = small(spark)
     e.query("SELECT G.Ref AS R INTO All FROM Catalog.Goods AS G".replace("All", "Whole"))
@@ -262,6 +267,7 @@ def test_rules_with_joins(spark):
     assert rule("LEFT JOIN Catalog.Goods AS F ON F.Parent = ТекущаяТаблица.Ref WHERE F.Ref IS NULL") == [("c",), ("e",), ("z",)]
     assert rule("LEFT JOIN Catalog.Goods AS C ON C.Parent = Goods.Ref LEFT JOIN Catalog.Goods AS D ON D.Parent = C.Ref WHERE NOT D.Ref IS NULL") == [("a",)]
     assert rule('INNER JOIN Catalog.Goods AS F ON F.Ref = Goods.Parent WHERE Goods.Parent.Description = &D AND F.Parent.Description = "Root"', session={"D": "Box"}) == [("c",)]
+    assert rule('ТекущаяТаблица КАК T ИЗ Справочник.Товары КАК X ГДЕ X.Parent = "a" И T.Ref <> "e"') == [("b",)]
     assert rule("ГДЕ ИСТИНА = &Open", session={"Open": True}) == [("a",), ("b",), ("c",), ("e",), ("z",)]
     assert rule("&Open = TRUE", session={"Open": False}) == []
 
@@ -273,7 +279,7 @@ def test_rules_see_session_parameters_only(spark):
     assert found.value.kind == "parameter" and "session" in found.value.message
 
 
-@pytest.mark.parametrize("rule", ["RIGHT JOIN Catalog.Firms AS F ON F.Ref = Ref WHERE TRUE", "INNER JOIN (SELECT F.Ref FROM Catalog.Firms AS F) AS X ON TRUE WHERE TRUE", "INNER JOIN AccumulationRegister.Stock.Balance() AS B ON TRUE WHERE TRUE", "WHERE", "Ref = 1 Ref", "INNER JOIN Catalog.Firms AS F WHERE TRUE"])
+@pytest.mark.parametrize("rule", ["RIGHT JOIN Catalog.Firms AS F ON F.Ref = Ref WHERE TRUE", "INNER JOIN (SELECT F.Ref FROM Catalog.Firms AS F) AS X ON TRUE WHERE TRUE", "INNER JOIN AccumulationRegister.Stock.Balance() AS B ON TRUE WHERE TRUE", "WHERE", "Ref = 1 Ref", "ТекущаяТаблица FROM Catalog.Firms AS F WHERE TRUE", "INNER JOIN Catalog.Firms AS F WHERE TRUE"])
 def test_rules_that_are_refused(spark, rule):
     assert kind(spark, "SELECT G.Ref FROM Catalog.Goods AS G", restricted=True, restrictions={"Catalog.Goods": rule}) in ("restriction", "syntax")
 

@@ -121,3 +121,23 @@ def test_console_of_users_and_roles(spark, sf):
     assert out[3] == "Catalog.Nations\tall rows\nCatalog.Regions\t#Few" and out[4] == "Catalog.Regions\t#Few" and out[5] == "Ref < &Most" and out[6] == "no current user" and out[7] == "current user: ann (reader)"
     assert "Catalog.Regions\t(Ref < &Most)" in out[8] and out[9] == "(Ref < &Most)"
     assert out[10:13] == ["R", "0", "1"] and out[13] == "Ref" and out[14] == "no user nobody" and out[15] == "no role x" and out[16] == "current user cleared" and out[17:] == ["N", "5"]
+
+
+def test_rights_of_attributes(spark, sf):
+    from quern.access import granted, granted_by_any
+
+    m = engine(spark, sf).model
+    grant = lambda *a, **k: granted(m, *a, **k)
+    loose = Role("loose", {}, listed={("Document.Orders", "Status", "View"): True}, independent=True)
+    assert not grant(loose, "Document.Orders", "View", "Status") and grant(loose, "Document.Orders", "View", "Status", verification=True)
+    assert not grant(loose, "Document.Orders", "View", "Total", verification=True)
+    default = Role("default", {}, attributes=True, independent=True)
+    assert grant(default, "Document.Orders", "View", "Total", verification=True)
+    assert granted_by_any(m, [Role("none", {}), Role("all", {}, new_objects=True)], "Catalog.Parts", "Чтение")
+    for role, args, kind in (
+        (default, ("Catalog.Parts", "View", "Description", True), "unsupported"), (default, ("Catalog.Parts", "Read", "Code"), "restriction"), (default, ("Catalog.Parts", "Fly"), "restriction"), (default, ("Catalog.Parts", "Insert"), "unsupported"),
+        (default, ("AccumulationRegister.Stock", "Read"), "unsupported"), (default, ("Catalog.Nope", "Read"), "unknown_object"), (default, ("Catalog.Parts", "View", "Brand"), "unknown_field"), (default, ("Document.Orders", "View", "Nope"), "unknown_field"),
+    ):
+        with pytest.raises(QueryError) as found:
+            granted(m, role, *args)
+        assert found.value.kind == kind
