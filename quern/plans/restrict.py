@@ -28,9 +28,9 @@ def apply(engine, df: DataFrame, src: Src, text: str) -> DataFrame:
         return scope.df.where(condition[0]).select(*df.columns)
     joined = [_joined(engine, j) for j in rule.joins]
     conditions = [j.on for j in rule.joins] + [rule.condition]
-    if all(j.how == "inner" for j in rule.joins):
+    if len(joined) == 1 and rule.joins[0].how == "inner":
         row = Src(src.obj.full_name.split(".")[1], src.fields, src.order, src.obj, also=names)
-        right = reduce(lambda a, b: a.crossJoin(b), [x for x, _ in joined])  # the conditions make it an inner join
+        right = joined[0][0]
         lowered, scope = _lowered(engine, [(df, row), *joined], conditions, df.crossJoin(right))  # never run: it only shows whether the rule dereferences
         if not scope.joined:
             return df.join(right, reduce(lambda a, b: a & b, lowered), "left_semi")
