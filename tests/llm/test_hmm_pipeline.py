@@ -5,8 +5,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quern.llm import hmm
+from quern.llm.words import words
 from tests.llm.edge import documents
 
 
@@ -101,6 +103,29 @@ def test_rounds_over_a_sample_only_set_the_start(spark, sf, monkeypatch):
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
 
 
+def test_every_round_goes_over_all_training_documents(spark, monkeypatch):
+    """4.3 million training tokens, more than a sample ever held; half of each document is of one of two sets of words."""
+    some = [" ".join(f"{'xy'[i % 2]}{(i * j) % 97} z{j % 13}" for j in range(500)) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    seen, was, starts = [], hmm._round, []
+    first = hmm.first_guess
+    monkeypatch.setattr(hmm, "first_guess", lambda weights, states: starts.append(first(weights, states)) or starts[0])
+    monkeypatch.setattr(hmm, "_round", lambda encoded, p: seen.append((encoded.count(), p)) or was(encoded, p))
+    found = hmm.score(docs, states=2)
+    training = found.where("not held_out").count()
+    assert found.first().train_tokens == 1001 * training > 4_000_000
+    assert {n for n, _ in seen} == {training}
+    assert seen[0][1] is starts[0]  # the first guess, from the counts of all words
+
+
+def test_tokens_of_a_batch_are_the_words_and_an_end():
+    texts = ["", None, " a  B\x0b\x0cc\x1c\x1dd\x85e\u00a0f\u2003 \r\n", "\x1f", "É ÀZ a\0b", "\t", "x a X"]
+    for some in (texts, texts[4:5], texts[:2], []):
+        distinct, at, ends = hmm.tokenised(pa.array([None, "skipped "] + some, pa.string()).slice(2))
+        got = [[distinct[int(i)].as_py() for i in at[lo:hi]] for lo, hi in zip([0, *ends], ends)]
+        assert got == [words(t) + [hmm.END] for t in some] and len(at) == sum(map(len, got))
+
+
 def test_training_ends_when_gains_end():
     logs = iter([-70.0, -69.9999, -69.99, -65.0, -62.0, -61.9999, -61.0])
     end = hmm.trained(lambda p: hmm.Parameters(p.pi, p.a, p.b, next(logs)), hmm.first_guess(np.ones(5), 3), 10)
