@@ -16,7 +16,7 @@ from quern.model import SERVICE, STANDARD, Model, Object
 from quern.operators import accounting
 from quern.operators import totals as totals_op
 from quern.plans import restrict
-from quern.plans.expressions import TAGS, Lower, composite_type, group_name, literal, python_value
+from quern.plans.expressions import TAGS, Lower, composite_type, group_name, literal, python_value, unnumbered
 from quern.plans.scope import Bound, Scope, Src, Val, bind
 from quern.plans.virtual import TABLES, VirtualTable
 
@@ -494,6 +494,7 @@ class Engine:
         scope = Scope(self, left, own)
         if x.how == "full" and not self._equality(x.on):
             raise QueryError("unsupported", "a full join without an equality")
+        unnumbered(x.on, "the condition of a join")
         condition = Lower(self, scope).condition(x.on)
         into += own
         return scope.df.join(right, condition, x.how)

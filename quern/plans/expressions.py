@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 from quern.functions import dates
 from quern.functions.scalars import CALLS, like_regex
@@ -102,6 +103,7 @@ class Lower:
             return None
         if len({id(f[1]) for _, f in paths}) > 1:
             raise QueryError("unsupported", "several sections in one predicate")
+        unnumbered(e, "a predicate over a section")
         src, child, _ = paths[0][1]
         rows, inner = self.engine.relation(child, "section")
         for n, (_, _, rest) in paths:
@@ -250,6 +252,8 @@ class Lower:
         return out
 
     def on_in(self, e: ast.In) -> Val:
+        if e.hierarchy or e.query is not None and (e.negated or isinstance(e.value, ast.Tuple)):
+            unnumbered(e.value, "what is looked for in other rows")
         if e.hierarchy:
             return self._in_hierarchy(e)
         if isinstance(e.value, ast.Tuple):
@@ -402,9 +406,13 @@ class Lower:
             groups = [F.substring(digits, at, n) for at, n in ((25, 8), (21, 4), (17, 4), (1, 4), (5, 12))]
             return Val(F.when(F.length(digits) == 32, F.concat_ws("-", *groups)).otherwise(digits), "uuid")
         if n in ("PRESENTATION", "REFPRESENTATION"):
-            return self.scope.presentation(self(e.args[0]))
+            v = self(e.args[0])
+            if v.kind == "ref":
+                unnumbered(e, n)
+            return self.scope.presentation(v)
         if n == "RECORDAUTONUMBER":
-            return Val(F.monotonically_increasing_id() + 1, "number")
+            # 1, 2, 3, ... by the partitions' counts, never in one task; ids by partition have gaps, also before the first row.
+            return Val(InternalFunction.distributed_sequence_id() + 1, "number")
         args = [self(x) for x in e.args]
         if n == "ROUND":
             places = e.args[1] if len(e.args) > 1 else ast.Literal(0, "number")
@@ -425,6 +433,13 @@ class Lower:
         raise QueryError("syntax", "a unit of dates is needed")
 
 
+def unnumbered(e: ast.Node, where: str) -> None:
+    """Spark numbers every child of the operator that holds the number; a join or an inner query would number other rows."""
+    for n in ast.walk(e, False):
+        if isinstance(n, ast.Call) and n.name == "RECORDAUTONUMBER":
+            raise QueryError("unsupported", f"RECORDAUTONUMBER in {where}", n.at)
+
+
 def group_name(e: ast.Node, scope: Scope) -> str:
     """The same for expressions that a grouping takes as one: paths by the column they lead to."""
     if isinstance(e, ast.Path):

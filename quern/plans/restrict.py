@@ -17,6 +17,8 @@ CURRENT_TABLE = "ТекущаяТаблица"  # how a rule names the rows that
 
 def apply(engine, df: DataFrame, src: Src, text: str) -> DataFrame:
     """The rows for which the rule holds. Rows never multiply: with joins, some joined row must satisfy the condition."""
+    from quern.plans.expressions import unnumbered
+
     rule = parse_restriction(text)
     names = (CURRENT_TABLE, *([rule.alias] if rule.alias else []))
     if rule.source is not None:
@@ -28,6 +30,8 @@ def apply(engine, df: DataFrame, src: Src, text: str) -> DataFrame:
         return scope.df.where(condition[0]).select(*df.columns)
     joined = [_joined(engine, j) for j in rule.joins]
     conditions = [j.on for j in rule.joins] + [rule.condition]
+    for c in conditions:
+        unnumbered(c, "a rule with joins")
     if len(joined) == 1 and rule.joins[0].how == "inner":
         row = Src(src.obj.full_name.split(".")[1], src.fields, src.order, src.obj, also=names)
         right = joined[0][0]

@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from quern.catalog_queries import oracle_sql, queries
 from quern.engine import DENIED, Engine, ValueTable, unique_labels
 from quern.lang import ast
 from quern.lang.diag import QueryError
@@ -12,6 +13,7 @@ from quern.lang.parser import parse
 from quern.model import Field, Model, Object
 from quern.plans.virtual import Boundary, PointInTime
 from quern.sample_model import engine
+from tests.oracle import check
 
 D = datetime.datetime
 
@@ -352,3 +354,44 @@ def test_service_tables_by_either_name(spark):
     e = Engine(spark, model, lambda name: spark.createDataFrame([(1, "x")], "id int, t string"))
     for name in ("БазовыеВидыРасчета", "BaseCalculationTypes", "BaseCalculationKinds"):
         assert rows(e.query(f"SELECT B.Type FROM ChartOfCalculationTypes.Pay.{name} AS B")) == [("x",)]
+
+
+def test_record_numbers_have_no_gaps(spark, sf):
+    e = small(spark)
+    # Four partitions, of which the first two and the last keep no row.
+    sparse = spark.range(0, 40, 1, 4).where("id >= 20 AND id < 30")
+    numbered = "SELECT T.id AS R, RECORDAUTONUMBER() AS N FROM &T AS T"
+    assert rows(e.query(numbered, {"T": sparse})) == [(20 + i, 1 + i) for i in range(10)]
+    assert rows(e.query(f"{numbered} WHERE T.id > 24", {"T": spark.range(0, 40, 1, 4).where("id < 30")})) == [(25 + i, 1 + i) for i in range(5)]
+    assert rows(e.query("SELECT RECORDAUTONUMBER() AS N")) == [(1,)]
+    every = lambda text, n, **params: sorted(r[0] for r in e.query(text, params).collect()) == list(range(1, n + 1))
+    same = spark.range(0, 30, 1, 7).selectExpr("id % 3 AS k", "1 AS v")
+    assert every("SELECT RECORDAUTONUMBER() AS N FROM &T AS T", 30, T=same)
+    assert every("SELECT RECORDAUTONUMBER() AS N, COUNT(*) AS C FROM &T AS T GROUP BY T.k HAVING COUNT(*) > 1", 3, T=same)
+    assert every("SELECT RECORDAUTONUMBER() AS N FROM &T AS T LEFT JOIN &T AS S ON T.k = S.k", 300, T=same)
+    assert every("SELECT DISTINCT RECORDAUTONUMBER() AS N FROM (SELECT T.k AS K FROM &T AS T) AS T", 30, T=same)
+    assert every("SELECT RECORDAUTONUMBER() AS N FROM &T AS T WHERE T.k > 5", 0, T=same)
+    assert [tuple(r) for r in e.query(f"{numbered} ORDER BY N DESC", {"T": sparse}).collect()] == [(29 - i, 10 - i) for i in range(10)]
+    assert rows(e.query("SELECT T.id AS R, RECORDAUTONUMBER() AS N INTO A FROM &T AS T; SELECT COUNT(*) AS C, SUM(X.N) AS S, MAX(Y.N) AS M FROM A AS X INNER JOIN A AS Y ON X.N = Y.N + 1", {"T": sparse})) == [(9, 54, 9)]
+    # A row group in the middle of its splits: the first ones have no rows.
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        check(queries()["record_numbers"](spark, sf), oracle_sql()["record_numbers"], sf)
+        found = plan(e.query("SELECT COUNT(*) AS C, MAX(T.N) AS M FROM (SELECT RECORDAUTONUMBER() AS N FROM &T AS T) AS T", {"T": same}))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert "Window" not in found and found.count("SinglePartition") == 1 and found.index("SinglePartition") < found.index("AttachDistributedSequence")
+
+
+def test_record_numbers_of_other_rows_are_refused(spark):
+    for text in (
+        "SELECT G.Ref FROM Catalog.Goods AS G INNER JOIN Catalog.Firms AS F ON F.Ref = G.Ref AND RECORDAUTONUMBER() < 3",
+        "SELECT CASE WHEN RECORDAUTONUMBER() NOT IN (SELECT M.Qty FROM AccumulationRegister.Stock AS M) THEN 1 END FROM Catalog.Goods AS G",
+        "SELECT G.Ref FROM Catalog.Goods AS G WHERE (G.Ref, RECORDAUTONUMBER()) IN (SELECT M.Item, M.Qty FROM AccumulationRegister.Stock AS M)",
+        "SELECT PRESENTATION(CASE WHEN RECORDAUTONUMBER() = 1 THEN G.Parent END) FROM Catalog.Goods AS G",
+    ):
+        assert kind(spark, text) == "unsupported"
+    rule = {"Catalog.Goods": "ТекущаяТаблица AS T INNER JOIN Catalog.Firms AS F ON F.Ref = T.Ref WHERE RECORDAUTONUMBER() < 2"}
+    assert kind(spark, "SELECT G.Ref FROM Catalog.Goods AS G", restricted=True, restrictions=rule | {"Catalog.Firms": None}) == "unsupported"
+    assert rows(small(spark).query("SELECT PRESENTATION(RECORDAUTONUMBER()) FROM Catalog.Firms AS F")) == [("1",), ("2",)]
